@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import packing, token_files, url_filter
 
-QUERIES = {"op6_url_filter": url_filter.op6_url_filter}
+QUERIES = {
+    "op2_token_files": token_files.op2_token_files,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op7_packing": packing.op7_packing,
+}
 ORACLES = {"op6_url_filter": url_filter.ORACLE}
