@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, token_files, url_filter
+from . import byte_bpe, packing, pii, quality, token_files, url_filter
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
+    "op3_quality": quality.op3_quality,
+    "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_packing": packing.op7_packing,
+    "op9_pii": pii.op9_pii,
 }
 ORACLES = {"op6_url_filter": url_filter.ORACLE}
