@@ -104,7 +104,7 @@ def pack(docs: DataFrame, tokenizer: str = word_tokens.TOKENIZER, window: int =
                     if full := packer.place(payload, size):
                         emit(full)
 
-        for b in slices(batches):
+        for b in slices(batches, limit=word_tokens.SLICE):
             ids, ends = word_tokens.closed(*encode.encode(b.column("text")), end_id)
             for i, doc in enumerate(b.column("doc_id").to_pylist()):
                 own = ids[ends[i] : ends[i + 1]]

@@ -143,7 +143,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = word_tokens.TOKE
         store, root = fs.FileSystem.from_uri(folder)
         sink = writer = None
         n_docs = n_tokens = 0
-        for b in slices(batches):
+        for b in slices(batches, limit=word_tokens.SLICE):
             if writer is None:
                 store.create_dir(root, recursive=True)
                 name, own = f"{root}/part-{part:06d}.tokens", f"{root}/.attempt-{uuid.uuid4().hex}"
