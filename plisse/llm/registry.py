@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, packing, pii, quality, token_files, url_filter
+from . import byte_bpe, embed_dedup, packing, pii, quality, token_files, url_filter
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
@@ -11,5 +11,6 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_packing": packing.op7_packing,
     "op9_pii": pii.op9_pii,
+    "op10_embed_dedup": embed_dedup.op10_embed_dedup,
 }
 ORACLES = {"op6_url_filter": url_filter.ORACLE}
