@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,6 +35,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more, instead of at some later collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_saved(df: DataFrame) -> None:
     """Delete the files behind a frame that save() returned, once no later step reads them."""
     jvm = df.sparkSession._jvm
