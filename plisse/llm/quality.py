@@ -166,10 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[
 
 
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], columns: list[str] | None = None) -> DataFrame:
-    """The given columns of docs (all of documents' unless named), and score double. The model's size is fixed by BUCKETS and DIM."""
+    """The given columns of docs (all of documents' unless named), and _score double. The model's size is fixed by BUCKETS and DIM."""
     sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     base = docs.select(*(columns or docs.columns))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", `score` double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", `_score` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _scorers:
@@ -177,7 +177,7 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.nda
             _scorers[name] = Scorer(sent.value)
         own = _scorers[name]
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.score(b.column("text")))], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.score(b.column("text")))], names=[*b.schema.names, "_score"])
 
     return base.mapInArrow(run, schema)
 
@@ -191,7 +191,12 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     scored = score_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), fit(docs, labels))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= CUT).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs, all columns kept, without the rows that the classifier, fitted to them and labels, predicts to be of quality 0."""
+    return score_documents(docs, fit(docs, labels)).where(F.col("_score") >= CUT).drop("_score")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
