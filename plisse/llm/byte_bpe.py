@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table
+from .common import slices, spread, table
+from .word_tokens import Ragged
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Distinct pieces that a worker remembers; beyond it the memory is emptied.
-REMEMBER = 500_000
+REMEMBER = 800_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,18 +41,12 @@ class MergeReplay:
         self.ranks = ranks
         self.vocabulary = {v: k for k, v in ranks.items()}
         self.first = [ranks[bytes([b])] for b in range(256)]
-        self.pair_rank: dict[tuple[int, int], int] = {}
+        #: The id of every pair of ids whose bytes together are in the vocabulary, by left << 20 | right.
+        self.merged = {ranks[k[:i]] << 20 | ranks[k[i:]]: r for k, r in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks}
 
     def rank(self, left: int, right: int) -> int:
         """The id of the merged pair, -1 if there is none."""
-        key = (left, right)
-        found = self.pair_rank.get(key)
-        if found is None:
-            found = self.ranks.get(self.vocabulary[left] + self.vocabulary[right], -1)
-            if len(self.pair_rank) > 2_000_000:
-                self.pair_rank.clear()
-            self.pair_rank[key] = found
-        return found
+        return self.merged.get(left << 20 | right, -1)
 
     def alone(self, piece: bytes) -> list[int]:
         """One piece by repeated search of its lowest pair; a piece of n bytes takes about n log n steps."""
@@ -74,22 +72,25 @@ class MergeReplay:
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
         out: list[list[int] | None] = [[w] if (w := self.ranks.get(p)) is not None else None for p in pieces]
         todo = [k for k, x in enumerate(out) if x is None]
-        first, ids, owner, begin = self.first, [], [], []
+        first, ids, begin = self.first, [], []
         for k in todo:
             begin.append(len(ids))
-            ids.extend([first[b] for b in pieces[k]])
+            ids += [first[b] for b in pieces[k]]
             ids.append(-1)  # a wall between pieces
-            owner.extend([k] * (len(pieces[k]) + 1))
         n = len(ids)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+        find = self.merged.get
         where: dict[int, list[int]] = {}
         for i in range(n - 1):
-            if ids[i] >= 0 and ids[i + 1] >= 0 and (r := self.rank(ids[i], ids[i + 1])) >= 0:
-                where.setdefault(r, []).append(i)
+            # A wall on either side makes the key negative, which isn't in the table.
+            if (r := find(ids[i] << 20 | ids[i + 1])) is not None:
+                if r in where:
+                    where[r].append(i)
+                else:
+                    where[r] = [i]
         heap = list(where)
         heapq.heapify(heap)
         odd: set[int] = set()
-        rank, vocabulary = self.rank, self.vocabulary
         while heap:
             r = heapq.heappop(heap)
             spots = where.pop(r, None)
@@ -97,79 +98,117 @@ class MergeReplay:
                 continue
             spots.sort()
             for i in spots:
-                a = ids[i]
-                if a < 0:
-                    continue
                 j = nxt[i]
-                b = ids[j]
-                # Different pairs can have the same bytes, and so the same rank; the position must still hold one of them.
-                if b < 0 or rank(a, b) != r:
+                # Different pairs can have the same bytes, and so the same rank; the place must still hold one of them.
+                if ids[i] < 0 or find(ids[i] << 20 | ids[j]) != r:
                     continue
                 ids[i] = r
                 ids[j] = -2
                 k = nxt[i] = nxt[j]
                 prv[k] = i
-                if (right := ids[k]) >= 0 and (q := rank(r, right)) >= 0:
-                    if q <= r:
-                        odd.add(owner[i])
+                if (q := find(r << 20 | ids[k])) is not None:
                     if q in where:
                         where[q].append(i)
                     else:
                         where[q] = [i]
                         heapq.heappush(heap, q)
-                h = prv[i]
-                if h >= 0 and (left := ids[h]) >= 0 and (q := rank(left, r)) >= 0:
                     if q <= r:
-                        odd.add(owner[i])
+                        odd.add(i)
+                h = prv[i]
+                if h >= 0 and (q := find(ids[h] << 20 | r)) is not None:
                     if q in where:
                         where[q].append(h)
                     else:
                         where[q] = [h]
                         heapq.heappush(heap, q)
-        for k, at in zip(todo, begin, strict=True):
-            if k in odd:
-                out[k] = self.alone(pieces[k])
-            else:
-                out[k] = [x for x in ids[at : at + len(pieces[k])] if x >= 0]
+                    if q <= r:
+                        odd.add(i)
+        alone = {bisect.bisect_right(begin, i) - 1 for i in odd}
+        for m, (k, at) in enumerate(zip(todo, begin, strict=True)):
+            out[k] = self.alone(pieces[k]) if m in alone else [x for x in ids[at : at + len(pieces[k])] if x >= 0]
         return out
 
 
 class ByteCoder:
-    """encode_batch() and decode() over one vocabulary, with a bounded memory of pieces."""
+    """Encoding of texts and decoding of ids over one vocabulary, with a bounded memory of pieces."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
         self.replay = MergeReplay(load_ranks(path))
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, str, list[int]]] = {}
-        size = max(self.replay.vocabulary) + 1
-        self.bytes_of = [self.replay.vocabulary.get(i, b"") for i in range(size)]
-
-    def learn(self, pieces: Iterable[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
+        self.usual = pattern == public_tokenizers.PATTERN
+        self.known: dict[str, bytes] = {}
+        words = [self.replay.vocabulary.get(i, b"") for i in range(max(self.replay.vocabulary) + 1)]
+        self.words = Ragged(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+        self.decimal = np.array([str(i) for i in range(len(words))], dtype=object)
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The packed ids of each piece."""
+        known = self.known
+        if len(known) > REMEMBER:
+            known.clear()
+        new = list(dict.fromkeys(p for p in pieces if p not in known))
         for p, ids in zip(new, self.replay.encode([p.encode() for p in new]), strict=True):
-            self.known[p] = (len(ids), ",".join(map(str, ids)), ids)
-
-    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+            known[p] = np.array(ids, np.uint32).tobytes()
+        return [known[p] for p in pieces]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """The packed ids of each chunk, of any form."""
+        split = [self.find(c) for c in chunks]
+        ids = iter(self._pieces([p for x in split for p in x]))
+        return [b"".join([next(ids) for _ in x]) for x in split]
+
+    def _spaced(self, words: pa.Array) -> Ragged:
+        """The ids of each word with a space before it. Letters, then marks without an apostrophe, are two pieces."""
+        split = pc.extract_regex(words, r"^(?P<stem>\p{L}+)(?P<tail>[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)$")
+        usual = split.is_valid().to_numpy(zero_copy_only=False)
+        split = split.filter(split.is_valid())
+        stem, tail = (pc.struct_field(split, f).dictionary_encode() for f in ("stem", "tail"))
+        stems = self._pieces([" " + w for w in stem.dictionary.to_pylist()])
+        tails = [self._pieces([t])[0] if t else b"" for t in tail.dictionary.to_pylist()]
+        out = np.empty(len(words), dtype=object)
+        out[usual] = [stems[a] + tails[b] for a, b in zip(stem.indices.to_pylist(), tail.indices.to_pylist(), strict=True)]
+        out[~usual] = self._chunks([" " + w for w in words.filter(pa.array(~usual)).to_pylist()])
+        return Ragged.of(out.tolist())
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids as uint32, one text after the other, and where each text starts and the last one ends. Null is empty.
+
+        Where no space has white space beside it, each space begins a piece, and white space of other kinds lies within the
+        words between: such texts are cut at their spaces and their distinct words are encoded once. Others are split whole.
+        """
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        plain = ~pc.match_substring_regex(texts, r" \s|\s |[\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]").to_numpy(zero_copy_only=False) & self.usual
+        split = pc.split_pattern(pc.if_else(pa.array(plain), texts, pa.scalar("", pa.large_string())), " ")
+        ends = np.asarray(split.offsets).astype(np.int64)
+        ends -= ends[0]
+        coded = split.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        spaced = self._spaced(coded.dictionary)
+        # The first word of a text has no space before it; a text of another form stands there as a whole.
+        firsts = coded.dictionary.take(pa.array(codes[ends[:-1]])).to_pylist()
+        whole = iter(texts.filter(pa.array(~plain)).to_pylist())
+        first = Ragged.of(self._chunks([f if ok else next(whole) for f, ok in zip(firsts, plain, strict=True)]))
+        lengths = spaced.lengths[codes]
+        lengths[ends[:-1]] = first.lengths
+        starts = np.cumsum(lengths) - lengths
+        ids = np.empty(int(lengths.sum()), np.uint32)
+        rest = np.ones(len(codes), bool)
+        rest[ends[:-1]] = False
+        ids[spread(starts[rest], lengths[rest])] = spaced.take(codes[rest])
+        ids[spread(starts[ends[:-1]], first.lengths)] = first.flat
+        return ids, np.append(starts, len(ids))[ends]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.words.take(np.asarray(ids, np.int64)).tobytes()
+
+    def digests(self, texts: pa.Array) -> Iterator[tuple[int, str, str]]:
         """Number of ids, SHA-256 of the decimal ids joined by commas, SHA-256 of the bytes decoded from the ids."""
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        split = [self.find(t) for t in texts]
-        self.learn(set().union(*split))
-        known, decode = self.known, self.decode
-        for pieces in split:
-            got = [known[p] for p in pieces]
-            ids = [i for x in got for i in x[2]]
-            yield len(ids), hashlib.sha256(",".join([x[1] for x in got]).encode()).hexdigest(), hashlib.sha256(decode(ids)).hexdigest()
-
-    def encode(self, text: str) -> list[int]:
-        pieces = self.find(text)
-        self.learn(set(pieces))
-        return [i for p in pieces for i in self.known[p][2]]
-
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        ids, ends = self.encode(texts)
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            own = ids[a:b]
+            yield len(own), hashlib.sha256(",".join(self.decimal[own]).encode()).hexdigest(), hashlib.sha256(self.decode(own)).hexdigest()
 
 
 _coders: dict[tuple[str, str], ByteCoder] = {}
@@ -187,8 +226,8 @@ def encode_documents(docs: DataFrame, ranks: str = RANKS, pattern: str = public_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks, pattern)
         for b in slices(batches):
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([own.encode(t) for t in texts], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            ids, ends = own.encode(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -214,7 +253,7 @@ def digest_documents(docs: DataFrame, ranks: str = RANKS, pattern: str = public_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks, pattern)
         for b in slices(batches):
-            got = list(own.digests([t or "" for t in b.column("text").to_pylist()]))
+            got = list(own.digests(b.column("text")))
             n, ids, decoded = map(list, zip(*got, strict=True))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
