@@ -1,0 +1,78 @@
+"""Repeated blocks of units: copies of a block of L units that follow it at once.
+
+Where unit i equals unit i + L for a streak of at least L units, the block of L units at the streak's start repeats. The
+streaks of every period are islands of one window; blocks with a repeat inside are dropped by a running minimum; a fold over
+each span's candidates, in order, claims those that don't overlap and pay.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from plisse.functions import text as T
+from plisse.operators.runs import COMMIT, is_free
+from plisse.operators.units import SPAN
+
+
+def _streaks(units: DataFrame, ids: str, lowest: int, highest: int) -> DataFrame:
+    """(span, at, period, left): left units from `at` on equal the ones `period` later, without a break.
+
+    Each unit looks at the numbers of the next `highest` units, so the work grows with units times the longest period,
+    however often a value occurs.
+    """
+    order = Window.partitionBy(*SPAN).orderBy("unit_no")
+    # Units that can't take part have numbers of their own.
+    number = F.when(is_free(), F.col(ids)).otherwise(-1 - F.col("unit_no"))
+    u = units.select(*SPAN, "unit_no", number.alias("_id"))
+    u = u.withColumn("_next", F.collect_list("_id").over(order.rowsBetween(1, highest)))
+    periods = F.filter(F.sequence(F.lit(lowest), F.lit(highest)), lambda p: (p <= F.size("_next")) & (F.get("_next", p - 1) == F.col("_id")))
+    e = u.select(*SPAN, F.col("unit_no").alias("at"), F.explode(periods).alias("period"))
+    by = Window.partitionBy(*SPAN, "period").orderBy("at")
+    e = e.withColumn("_island", F.col("at") - F.row_number().over(by))
+    back = Window.partitionBy(*SPAN, "period", "_island").orderBy(F.desc("at"))
+    return e.withColumn("left", F.row_number().over(back)).drop("_island")
+
+
+def candidates(units: DataFrame, ids: str, coarse: str, shortest: int, longest: int) -> DataFrame:
+    """(span, at, length, copies): for each start the longest block that repeats and has no repeat in the coarse numbers inside."""
+    c = _streaks(units, ids, shortest, longest).where("left >= period").select(*SPAN, "at", F.col("period").alias("length"), (F.floor(F.col("left") / F.col("period")) + 1).cast("int").alias("copies"), F.lit(None).cast("int").alias("_reach"))
+    inner = _streaks(units, coarse, 1, max(1, longest // 2)).where("left >= period").select(*SPAN, "at", F.lit(None).cast("int").alias("length"), F.lit(None).cast("int").alias("copies"), (F.col("at") + 2 * F.col("period")).alias("_reach"))
+    # The nearest end of a coarse repeat that starts at or after each candidate.
+    later = Window.partitionBy(*SPAN).orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = c.unionByName(inner).withColumn("_near", F.min("_reach").over(later)).where("length is not null")
+    both = both.where(F.col("_near").isNull() | (F.col("at") + F.col("length") < F.col("_near")))
+    return both.groupBy(*SPAN, "at").agg(F.max(F.struct("length", "copies")).alias("_b")).select(*SPAN, "at", "_b.length", "_b.copies")
+
+
+def fold_blocks(units: DataFrame, kind: str, ids: str, coarse: str, shortest: int, longest: int) -> DataFrame:
+    """Claim blocks in order of their starts.
+
+    A start is passed over within an earlier block, or if the free unit before it, unless that ends the last claimed block,
+    has the same coarse number: the repeat would then begin earlier in a form that doesn't match whole.
+    """
+    order = Window.partitionBy(*SPAN).orderBy("unit_no")
+    free = is_free()
+    wall = F.coalesce(free & F.lag(free, 1, False).over(order) & (F.col(coarse) == F.lag(coarse).over(order)), F.lit(False))
+    walls = units.select(*SPAN, "style", F.struct("unit_no", "start", "end", wall.alias("wall")).alias("_u"))
+    whole = walls.groupBy(*SPAN).agg(F.first("style").alias("style"), F.array_sort(F.collect_list("_u")).alias("_u"))  # one span's units
+    found = candidates(units, ids, coarse, shortest, longest).groupBy(*SPAN).agg(F.array_sort(F.collect_list(F.struct("at", "length", "copies"))).alias("_c"))
+    joined = found.join(whole, list(SPAN))
+    unit = lambda i: F.get("_u", i)
+
+    def step(acc, c):
+        at, stop = c["at"], c["at"] + c["length"] * c["copies"]
+        begin, anchor_end, end = unit(at)["start"], unit(at + c["length"] - 1)["end"], unit(stop - 1)["end"]
+        count = (c["copies"] - 1).cast("long")
+        room = T.marker_length(F.col("style"), F.lit(kind), count) + anchor_end - begin < end - begin
+        take = (at >= acc["next"]) & ~(unit(at)["wall"] & (at != acc["last"])) & room
+        commit = F.struct(F.lit(kind).alias("kind"), at.alias("first"), (stop - 1).alias("last"), count.alias("count"), begin.alias("anchor_start"), anchor_end.alias("anchor_end"), begin.alias("removed_start"), end.alias("removed_end")).cast(COMMIT)
+        return F.when(take, F.struct(stop.alias("next"), stop.alias("last"), F.concat(acc["commits"], F.array(commit)).alias("commits"))).otherwise(acc)
+
+    start = F.struct(F.lit(0).alias("next"), F.lit(-1).alias("last"), F.array().cast(f"array<{COMMIT}>").alias("commits"))
+    taken = joined.select(*SPAN, F.aggregate("_c", start, step)["commits"].alias("_t")).where(F.size("_t") > 0)
+    taken = taken.select(*SPAN, F.map_from_arrays(F.transform("_t", lambda x: x["first"]), F.col("_t")).alias("_t"))
+    u = units.join(taken, list(SPAN), "left").withColumn("_new", F.when(F.col("_t").isNotNull(), F.try_element_at("_t", "unit_no")))
+    last = F.last("_new.last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    u = u.withColumn("_covered", F.coalesce(F.col("unit_no") <= last, F.lit(False)))
+    return u.withColumns({"commit": F.coalesce("_new", "commit"), "claimed": F.col("claimed") | F.col("_covered")}).drop("_t", "_new", "_covered")

@@ -1,0 +1,53 @@
+"""Runs of equal neighbouring units (gaps and islands), and the profitability gate."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from plisse.functions import text as T
+from plisse.operators.units import SPAN
+
+COMMIT = "struct<kind:string,first:int,last:int,count:bigint,anchor_start:int,anchor_end:int,removed_start:int,removed_end:int>"
+
+
+def unclaimed(units: DataFrame) -> DataFrame:
+    """units that no commit has claimed yet: commit is the one that begins at a unit, claimed tells that any covers it."""
+    return units.withColumns({"claimed": F.lit(False), "commit": F.lit(None).cast(COMMIT)})
+
+
+def is_free() -> Column:
+    return F.col("eligible") & ~F.col("claimed")
+
+
+def profitable(style: Column, kind: Column, count: Column, anchor_bytes: Column, removed_bytes: Column) -> Column:
+    return anchor_bytes + T.marker_length(style, kind, count) < removed_bytes
+
+
+def fold_runs(units: DataFrame, kind: str, value: str, min_size: int) -> DataFrame:
+    """Claim maximal runs of free units of equal value, if long enough and profitable.
+
+    Claimed and ineligible units break a run. All windows are within a span, so the partitioning of the input serves them all.
+    """
+    order = Window.partitionBy(*SPAN).orderBy("unit_no")
+    free = is_free()
+    same = free & F.lag(free, 1, False).over(order) & (F.col(value) == F.lag(value).over(order))
+    u = units.withColumn("_same", F.coalesce(same, F.lit(False)))
+    u = u.withColumn("_island", F.sum(F.when(F.col("_same"), 0).otherwise(1)).over(order))
+    island = Window.partitionBy(*SPAN, "_island")
+    u = u.withColumns({"_n": F.count("*").over(island), "_head": F.min(F.struct("unit_no", "start", "end")).over(island), "_stop": F.max("end").over(island)})
+    count = (F.col("_n") - 1).cast("long")
+    anchor, removed = F.col("_head.end") - F.col("_head.start"), F.col("_stop") - F.col("_head.start")
+    take = free & (F.col("_n") >= max(2, min_size)) & profitable(F.col("style"), F.lit(kind), count, anchor, removed)
+    u = u.withColumn("_take", F.coalesce(take, F.lit(False)))
+    first = F.col("_head.unit_no")
+    commit = F.struct(F.lit(kind).alias("kind"), first.alias("first"), (first + F.col("_n") - 1).cast("int").alias("last"), count.alias("count"), F.col("_head.start").alias("anchor_start"), F.col("_head.end").alias("anchor_end"), F.col("_head.start").alias("removed_start"), F.col("_stop").alias("removed_end"))
+    u = u.withColumns({"commit": F.when(F.col("_take") & (F.col("unit_no") == first), commit.cast(COMMIT)).otherwise(F.col("commit")), "claimed": F.col("claimed") | F.col("_take")})
+    return u.drop("_same", "_island", "_n", "_head", "_stop", "_take")
+
+
+def with_ids(units: DataFrame, value: str, name: str, free_only: bool) -> DataFrame:
+    """name: the number of the first unit of the span with the same value, so that equality of values is that of numbers."""
+    keys = [*SPAN, value] + (["_free"] if free_only else [])
+    u = units.withColumn("_free", is_free()) if free_only else units
+    return u.withColumn(name, F.min("unit_no").over(Window.partitionBy(*keys))).drop("_free")
