@@ -92,8 +92,8 @@ CTX = "array<struct<value:long,term:long,start:int,end:int>>"
 
 
 def locate(docs: DataFrame) -> DataFrame:
-    """docs with row long, base (the fixed spans) and ctx (terms around them)."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", row long, base {SPAN}, ctx {CTX}"
+    """docs with _row long, _base (the fixed spans) and _ctx (terms around them)."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", _row long, _base {SPAN}, _ctx {CTX}"
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
     ctx_type = pa.list_(pa.struct([("value", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -107,7 +107,7 @@ def locate(docs: DataFrame) -> DataFrame:
                 ctx.append([{"value": x[0], "term": x[1], "start": x[2], "end": x[3]} for x in contexts(text, s)] if s else [])
             rows = pa.array(np.arange(row, row + b.num_rows))
             row += b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, rows, pa.array(spans, span_type), pa.array(ctx, ctx_type)], names=[*b.schema.names, "row", "base", "ctx"])
+            yield pa.RecordBatch.from_arrays([*b.columns, rows, pa.array(spans, span_type), pa.array(ctx, ctx_type)], names=[*b.schema.names, "_row", "_base", "_ctx"])
 
     return docs.mapInArrow(run, schema)
 
@@ -115,12 +115,16 @@ def locate(docs: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame, wanted: list[int] | None) -> DataFrame:
     """(term, n): in how many documents each term stands, over whole texts; only the wanted terms, or all where it is null.
 
-    Each slice of texts is counted before the shuffle.
+    Each task adds up its slices before the shuffle, flushing at a bounded number of terms.
     """
 
+    def send(held: dict[int, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = None if wanted is None else np.sort(np.array(wanted, np.int64))
         known: dict[str, tuple[int, ...]] = {}
+        held: dict[int, int] = {}
         for b in slices(batches):
             words, codes, ends = split_words(b.column("text"))
             if len(known) > 1_000_000:
@@ -144,7 +148,13 @@ def term_counts(docs: DataFrame, wanted: list[int] | None) -> DataFrame:
             index = np.repeat(first[codes[at]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             pairs = np.unique(np.repeat(doc[at], n) * len(terms) + code[index])
             counts = np.bincount(pairs % len(terms), minlength=len(terms))
-            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts.astype(np.int64))], names=["term", "n"])
+            for t, n in zip(terms.tolist(), counts.tolist(), strict=True):
+                held[t] = held.get(t, 0) + n
+            if len(held) > 500_000:
+                yield send(held)
+                held = {}
+        if held:
+            yield send(held)
 
     return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
@@ -156,9 +166,9 @@ def disclosing(located: DataFrame, docs: DataFrame, disclosed: float = DISCLOSED
     information content is log2(N / c(v)); the term reveals log2(N c(t,v) / (c(v) c(t))) of it. Terms seen with a value in
     fewer than `support` documents prove nothing. Counts are over all documents.
     """
-    each = located.where(F.size("ctx") > 0).select("row", F.explode("ctx").alias("c")).select("row", "c.value", "c.term")
+    each = located.where(F.size("_ctx") > 0).select("_row", F.explode("_ctx").alias("c")).select("_row", "c.value", "c.term")
     pairs = each.distinct().groupBy("value", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    values = each.select("row", "value").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
+    values = each.select("_row", "value").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
     terms = save(pairs.select("term").distinct(), "pii-terms")
     few = terms.count() <= BROADCAST_TERMS
     counts = term_counts(docs, [r.term for r in terms.collect()] if few else None)
@@ -170,7 +180,7 @@ def disclosing(located: DataFrame, docs: DataFrame, disclosed: float = DISCLOSED
 
 
 def find(docs: DataFrame, disclosed: float = DISCLOSED, carry: bool = True) -> DataFrame:
-    """docs(doc_id, text, ...) with spans: all spans of the fixed patterns and of disclosing terms, sorted by start and kind.
+    """docs(doc_id, text, ...) with _base and _spans: the spans of the fixed patterns, and these with the spans of the fixed patterns and of disclosing terms, sorted by start and kind.
 
     Offsets are code points, the end exclusive. A null text is empty. The table of located spans is written once; only rows
     that have a context are joined to the disclosing pairs, the others pass by. A value that a third of the documents hold is
@@ -179,13 +189,13 @@ def find(docs: DataFrame, disclosed: float = DISCLOSED, carry: bool = True) -> D
     located = locate(docs)
     located = save(located if carry else located.drop("text"), "pii-spans")
     flagged = disclosing(located, docs, disclosed)
-    ctx = located.where(F.size("ctx") > 0)
+    ctx = located.where(F.size("_ctx") > 0)
     term = F.struct(F.col("c.start").alias("start"), F.lit(len(KINDS) - 1).alias("kind"), F.col("c.end").alias("end"))
-    hits = ctx.select("row", F.explode("ctx").alias("c")).join(flagged, (F.col("c.value") == flagged["value"]) & (F.col("c.term") == flagged["term"])).select("row", term.alias("s"))
-    hits = hits.distinct().groupBy("row").agg(F.collect_list("s").alias("added"))  # within one document
-    joined = ctx.join(hits, "row", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(SPAN))))).drop("added")
-    plain = located.where(F.size("ctx") == 0).withColumn("spans", F.col("base"))
-    return joined.select(*plain.columns).unionByName(plain).drop("row", "ctx")
+    hits = ctx.select("_row", F.explode("_ctx").alias("c")).join(flagged, (F.col("c.value") == flagged["value"]) & (F.col("c.term") == flagged["term"])).select("_row", term.alias("s"))
+    hits = hits.distinct().groupBy("_row").agg(F.collect_list("s").alias("added"))  # within one document
+    joined = ctx.join(hits, "_row", "left").withColumn("_spans", F.array_sort(F.concat("_base", F.coalesce("added", F.array().cast(SPAN))))).drop("added")
+    plain = located.where(F.size("_ctx") == 0).withColumn("_spans", F.col("_base"))
+    return joined.select(*plain.columns).unionByName(plain).drop("_row", "_ctx")
 
 
 def _text(column: str) -> Column:
@@ -195,9 +205,9 @@ def _text(column: str) -> Column:
 
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns of find()."""
-    n = [F.size(F.array_remove(F.transform("base", lambda x: x["kind"]), k)) for k in range(4)]
-    n = [(F.size("base") - left).cast("long").alias(f"n_{KINDS[k]}") for k, left in enumerate(n)]
-    return found.select("doc_id", *n, F.sha2(_text("base").cast("binary"), 256).alias("base_sha256"), _text("spans").alias("spans"))
+    n = [F.size(F.array_remove(F.transform("_base", lambda x: x["kind"]), k)) for k in range(4)]
+    n = [(F.size("_base") - left).cast("long").alias(f"n_{KINDS[k]}") for k, left in enumerate(n)]
+    return found.select("doc_id", *n, F.sha2(_text("_base").cast("binary"), 256).alias("base_sha256"), _text("_spans").alias("spans"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -213,7 +223,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts = b.column("text").to_pylist()
-            for i, spans in enumerate(b.column("spans").to_pylist()):
+            for i, spans in enumerate(b.column("_spans").to_pylist()):
                 if spans:
                     out, at, text = [], 0, texts[i]
                     for s in spans:
@@ -223,7 +233,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
                     texts[i] = "".join(out) + text[at:]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
 
-    return found.select(*names, "spans").mapInArrow(run, schema)
+    return found.select(*names, "_spans").mapInArrow(run, schema)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
