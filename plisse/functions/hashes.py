@@ -6,14 +6,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _checksums(raw: pa.Array) -> pa.Array:
     return pa.array([None if x is None else f"{xxhash.xxh3_64_intdigest(x) & 0xFFFF:04x}" for x in raw.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _ids(raw: pa.Array) -> pa.Array:
     return pa.array([None if x is None else f"{xxhash.xxh3_128_hexdigest(x)}:{len(x)}" for x in raw.to_pylist()], pa.string())
 

@@ -6,12 +6,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from plisse.functions import text as T
 from plisse.functions.hashes import restore_id
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(ArrayType(StringType()))
 def _checksums(raw: pa.Array) -> pa.Array:
     return pa.array([None if x is None else [f"{xxhash.xxh3_64_intdigest(a) & 0xFFFF:04x}" for a in x] for x in raw.to_pylist()], pa.list_(pa.string()))
 

@@ -17,6 +17,8 @@ from plisse.plans.options import Options
 from plisse.sources import corpus, reports
 from plisse.sources.locate import detect, locate_column
 
+#: End of a record, long enough for every dump to exceed the line cap.
+_NOTE = ',"note":"' + "no remark " * 4 + '"}'
 STATS = ("payload_id", "bytes_in", "bytes_out", "approx_tokens_in", "approx_tokens_out", "groups_collapsed", "exact_runs", "ws_runs", "block_repeats", "template_groups", "templated_blocks", "record_splits", "degraded", "noop_reason")
 
 
@@ -84,7 +86,7 @@ def block_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def record_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One dump of records a return flag: lines far above the cap, cut into their records."""
-    r = _read(spark, sf_dir, "lineitem").select("l_returnflag", F.concat(F.lit('{"o":'), F.col("l_orderkey").cast("string"), F.lit(',"l":'), F.col("l_linenumber").cast("string"), F.lit("}")).alias("r"), "l_orderkey", "l_linenumber")
+    r = _read(spark, sf_dir, "lineitem").select("l_returnflag", F.concat(F.lit('{"o":'), F.col("l_orderkey").cast("string"), F.lit(',"l":'), F.col("l_linenumber").cast("string"), F.lit(_NOTE)).alias("r"), "l_orderkey", "l_linenumber")
     d = r.groupBy("l_returnflag").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "r"))), lambda x: x["r"]), ","), F.lit("]")).alias("text"))
     u = split_units(_spans(d, "l_returnflag", F.col("text")))
     return u.groupBy(F.col("payload_id").alias("l_returnflag")).agg(F.count("*").alias("n_records"), F.count_if("eligible").alias("n_eligible"), F.sum(F.length("raw")).alias("record_bytes"))
@@ -227,7 +229,7 @@ ORACLES = {
         g as (select *, sum(c) over (partition by user_id order by i) as k from m),
         r as (select user_id, min(i) as first_unit, count(*) - 1 as copies_omitted, min_by(strlen(line), i) as a, sum(strlen(line) + 2)::bigint - 2 as removed_bytes from g group by user_id, k)
         select user_id, first_unit, copies_omitted, removed_bytes from r where copies_omitted >= 2 and a + 31 + strlen(copies_omitted::varchar) < removed_bytes""",
-    "record_split": """with r as (select l_returnflag, '{"o":' || l_orderkey || ',"l":' || l_linenumber || '}' as r from lineitem)
+    "record_split": f"""with r as (select l_returnflag, '{{"o":' || l_orderkey || ',"l":' || l_linenumber || '{_NOTE}' as r from lineitem)
         select l_returnflag, count(*) as n_records, count(*) as n_eligible, sum(strlen(r))::bigint + 2 as record_bytes from r group by l_returnflag""",
     "sniff_schema": "select conv_id, 'chat' as schema, null::varchar as noop_reason, count(*) filter (role = 'user' and text <> '') as n_spans from conversations group by conv_id",
     "span_inventory": f"select conv_id, 'user' as class, count(*) as n_spans, sum(strlen({_ESCAPED}))::bigint as span_bytes, count(*) filter (strlen(text) = length(text)) as ascii_spans from conversations where role = 'user' and text <> '' group by conv_id",
@@ -242,7 +244,7 @@ ORACLES = {
         p as (select lang, case when ti > 0 then greatest(ti - tn, 0) * 1000 // ti else 0 end as q from t)
         select lang, count(*) as cases, floor(median(q))::int as median_permille, min(q)::int as min_permille, max(q)::int as max_permille, floor(median(q)) >= 400 as meets_target,
                (floor(median(q))::int // 10) || '.' || (floor(median(q))::int % 10) || '%' as median_percent from p group by lang""",
-    "span_shapes": """with d as (select lang, text, list_max(list_transform(string_split(text, chr(10)), x -> strlen(x))) > 65536 as over from documents where text <> '')
+    "span_shapes": """with d as (select lang, text, list_max(list_transform(string_split(text, chr(10)), lambda x: strlen(x))) > 65536 as over from documents where text <> '')
         select 'user' as class, lang, count(*) filter (not over and contains(text, chr(10))) as multi_line, count(*) filter (not over and not contains(text, chr(10))) as single_line, count(*) filter (over) as over_cap from d group by lang""",
     "request_metrics": """select '/v1/' || event_type as route, (case when user_id % 5 = 0 then 404 else 200 end)::int as status, count(*) as requests,
         'requests_total{route="/v1/' || event_type || '",status="' || (case when user_id % 5 = 0 then 404 else 200 end) || '"} ' || count(*) as line from events group by event_type, case when user_id % 5 = 0 then 404 else 200 end""",
