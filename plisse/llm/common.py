@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, only where it is unset, an own one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,19 +30,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it: lineage ends there, and a lost executor costs nothing."""
+    """Write df as a Parquet table in the shared folder and read it: lineage ends there, and a lost executor costs nothing.
+
+    Spark is told to delete the shuffle files of this one write when it is done, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more, instead of at some later collection."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def drop_saved(df: DataFrame) -> None:
     """Delete the files behind a frame that save() returned, once no later step reads them."""
     jvm = df.sparkSession._jvm

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 
 from .common import shuffle_parts
 
-#: Ranges for each shuffle partition, so that a task holds a part of its partition at a time.
-FINE = 4
 SCHEMA = "part int, payload binary"
 
 
 def ranges(df: DataFrame) -> int:
-    return FINE * shuffle_parts(df.sparkSession)
+    """One range a shuffle partition. A map task sends a row a range each time it flushes what it gathered, not each slice, so
+    the rows number tasks times ranges, as the blocks of any shuffle do."""
+    return shuffle_parts(df.sparkSession)
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -38,19 +38,30 @@ def unpack(payload: bytes, kinds: list[str]) -> list[np.ndarray]:
 
 
 def split(part: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    if not len(part):
+        return
     order = np.argsort(part, kind="stable")
     part, columns = part[order], [c[order] for c in columns]
-    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
         yield int(part[a]), [c[a:b] for c in columns]
 
 
+def steps(x: np.ndarray) -> bytes:
+    """Differences of neighbouring numbers, their bytes by significance: where they ascend slowly most are zero and compress away."""
+    return np.ascontiguousarray(np.diff(x, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unsteps(raw: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").ravel())
+
+
 def to_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "payload"])
 
 
 def deal(sent: DataFrame, reduce: Callable[[Iterator[tuple[int, Iterator[bytes]]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Send rows (part, payload) to the tasks of their parts; reduce gets each part with its payloads, one part at a time."""
+    """Send rows (part, payload) to the tasks of their parts, the part being the task's number; reduce gets each part with its payloads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((p, x) for b in batches for p, x in zip(b.column("part").to_pylist(), b.column("payload"), strict=True))
@@ -71,4 +82,4 @@ def deal(sent: DataFrame, reduce: Callable[[Iterator[tuple[int, Iterator[bytes]]
 
         yield from reduce(parts())
 
-    return sent.repartition(shuffle_parts(sent.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, schema)
+    return sent.repartitionById(ranges(sent), "part").mapInArrow(run, schema)

@@ -20,15 +20,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import components, mix, release, save, slices, table, text_buffer
+from .common import components, mix, save, slices, table, text_buffer
 from .suffix_dedup import Rolling
 
 WORDS = 5
 #: Similarity in hundredths.
 SIMILAR = 80
-#: Document frequencies from which shingles rank alike, by hash alone. A slice sends a shingle that is this frequent within it
+#: Document frequencies from which shingles rank alike, by hash alone. A task sends a shingle that is this frequent in what it gathered
 #: as a count, not as so many entries: its documents know the rank already.
 FREQUENT = 64
+#: Bytes of text made into shingles at once; shingles that a map task gathers before it sends them.
+SLICE, GATHER = 1 << 20, 1_500_000
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -103,44 +105,58 @@ SHARED_KINDS = ["<i8", "<u8", "u1"]
 
 
 def _index(parts: int):
-    """Map side: each slice sends its documents, its locally frequent shingles settled, and the rest by range of hash."""
+    """Map side: documents, locally frequent shingles settled, and the rest by range of hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 40
-        for b in slices(batches):
+        base = first = TaskContext.get().partitionId() << 40
+        held: list[tuple] = []
+        size = 0
+        for b in slices(batches, limit=SLICE):
             owner, h = shingle_sets(b.column("text"))
-            uid = np.arange(base, base + b.num_rows)
-            base += b.num_rows
             n = np.bincount(owner, minlength=b.num_rows)
             f1, f2 = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64)
             if len(h):
                 full = np.flatnonzero(n)
-                first = (np.cumsum(n) - n)[full]
-                f1[full] = np.add.reduceat(mix(h), first)
-                f2[full] = np.add.reduceat(mix(h ^ _U(0x5851F42D4C957F2D)), first)
-            rows = [(part, _doc_rows(*cols)) for part, cols in _by_uid(uid, [uid, b.column("doc_id"), n, f1, f2], parts)]
-            if len(h):
-                kinds, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-                often = count[inverse] >= FREQUENT
-                if often.any():
-                    hot = count >= FREQUENT
-                    cols = [_reduced(kinds[hot], parts), count[hot].astype(np.int64)]
-                    rows += [(p, b"\3" + exchange.pack(c)) for p, c in exchange.split(exchange.part_of(kinds[hot], parts), cols)]
-                    cols = [uid[owner[often]], _reduced(h[often], parts), np.full(int(often.sum()), FREQUENT, np.uint8)]
-                    rows += [(p, b"\1" + exchange.pack(c)) for p, c in _by_uid(cols[0], cols, parts)]
-                    owner, h = owner[~often], h[~often]
-                for p, (local, own) in exchange.split(exchange.part_of(h, parts), [owner, h]):
-                    rows.append((p, b"\0" + int(uid[0]).to_bytes(8, "little") + len(own).to_bytes(8, "little") + _steps(local).tobytes() + _low(own).tobytes()))
-            if rows:
-                yield exchange.to_batch(rows)
+                begin = (np.cumsum(n) - n)[full]
+                f1[full] = np.add.reduceat(mix(h), begin)
+                f2[full] = np.add.reduceat(mix(h ^ _U(0x5851F42D4C957F2D)), begin)
+            held.append((owner + (base - first), h, np.arange(base, base + b.num_rows), b.column("doc_id"), n, f1, f2))
+            base += b.num_rows
+            size += len(h)
+            if size > GATHER:
+                yield send(first, held)
+                first, held, size = base, [], 0
+        if held:
+            yield send(first, held)
+
+    def send(first: int, held: list[tuple]) -> pa.RecordBatch:
+        owner, h, uid = (np.concatenate([x[i] for x in held]) for i in range(3))
+        doc = pa.concat_arrays([x[3] for x in held])
+        n, f1, f2 = (np.concatenate([x[i] for x in held]) for i in range(4, 7))
+        rows = [(part, _doc_rows(*cols)) for part, cols in _by_uid(uid, [uid, doc, n, f1, f2], parts)]
+        if len(h):
+            kinds, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+            often = count[inverse] >= FREQUENT
+            if often.any():
+                hot = count >= FREQUENT
+                cols = [_reduced(kinds[hot], parts), count[hot].astype(np.int64)]
+                rows += [(p, b"\3" + exchange.pack(c)) for p, c in exchange.split(exchange.part_of(kinds[hot], parts), cols)]
+                cols = [owner[often] + first, _reduced(h[often], parts), np.full(int(often.sum()), FREQUENT, np.uint8)]
+                rows += [(p, b"\1" + exchange.pack(c)) for p, c in _by_uid(cols[0], cols, parts)]
+                owner, h = owner[~often], h[~often]
+            for p, (local, own) in exchange.split(exchange.part_of(h, parts), [owner, h]):
+                rows.append((p, b"\0" + first.to_bytes(8, "little") + len(own).to_bytes(8, "little") + _steps(local).tobytes() + _low(own).tobytes()))
+        return exchange.to_batch(rows)
 
     return run
 
 
 def _by_uid(uid: np.ndarray, columns: list, parts: int) -> Iterator[tuple[int, list]]:
+    if not len(uid):
+        return
     part = (mix(uid.astype(np.uint64)) % _U(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.append(True, np.diff(part[order]) != 0)) if len(part) else []
+    cuts = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
     for a, z in zip(cuts, [*cuts[1:], len(part)], strict=True):
         at = order[a:z]
         yield int(part[at[0]]), [c.take(pa.array(at)) if isinstance(c, pa.Array) else c[at] for c in columns]
@@ -301,7 +317,6 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     gives no rows; other columns are ignored. Whole texts are read, however long.
     """
     sets = save(prefix_sets(docs), "shingle-sets")
-    release(docs.sparkSession)
     linked = components(_links(sets))
     whole = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least"))
     whole = whole.join(linked, whole["uid"] == linked["node"], "left").select("n", "f1", "f2", "least", F.coalesce("component", "uid").alias("c"))
