@@ -26,10 +26,12 @@ from . import exchange
 from .common import mix, save, shuffle_parts, slices, spread, table, text_buffer
 
 MATCH, SEED = 100, 32
-#: Contexts of one seed in one batch beyond which they go to the second round at once, so that no seed fills a task.
-MANY = 16
-#: Entries that a map task gathers before it sends them; bytes of window starts looked at together.
-GATHER, CHUNK = 1_000_000, 1 << 22
+#: Equal windows agree in at least so many bytes to one side of their seed.
+HALF = (MATCH - SEED) // 2
+#: Contexts of one seed in one task beyond which they go to the second round at once, so that no seed fills a task.
+MANY = 256
+#: Entries that a map task gathers before it sends them; bytes of text, and of window starts, looked at together.
+GATHER, CHUNK = 1_000_000, 1 << 20
 _U = np.uint64
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _CODE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
@@ -62,10 +64,11 @@ class Rolling:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Synchronising positions of texts that lie one after the other in data: (h1, h2, text number, p, a, b).
+    """Synchronising positions of texts that lie one after the other in data: (h1, h2, sides, text number, p, a, b).
 
     Windows that start at a..b (inclusive, in data) chose the seed at p; h1 is the seed's hash, h2 that of the bytes of all
-    these windows and of where the seed lies in them. Positions are in data.
+    these windows and of where the seed lies in them. sides has 16 bits each of the hashes of the HALF bytes before and after
+    the seed (of fewer, at the rim of a text). Positions are in data.
     """
     out = []
     lengths = np.maximum(0, np.diff(ends) - MATCH + 1)
@@ -80,14 +83,17 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
             high = np.minimum(ends[texts] + lengths[texts] - begin, max(0, len(part) - MATCH + 1))
             n = np.maximum(0, high - low)
             if n.sum():
-                h1, h2, s0, s1, p = _chunk(part, spread(low, n))
+                h1, h2, s0, s1, p, rolling = _chunk(part, spread(low, n))
                 owner = np.repeat(texts, n)[s0[1]]
-                out.append((h1, h2, owner, p + begin, s0[0] + begin, s1 + begin))
+                before = rolling.of(np.maximum(p - HALF, np.maximum(ends[owner] - begin, 0)), p)
+                after = rolling.of(p + SEED, np.minimum(p + SEED + HALF, np.minimum(ends[owner + 1] - begin, len(part))))
+                sides = ((before >> _U(48)) << _U(16) | after >> _U(48)).astype(np.uint32)
+                out.append((h1, h2, sides, owner, p + begin, s0[0] + begin, s1 + begin))
             if stop > first + 1:
                 break
         first = stop
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32), *(np.zeros(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -112,10 +118,40 @@ def _chunk(data: np.ndarray, starts: np.ndarray):
     p, a, b = p[head], starts[head], starts[tail]
     h1 = h[p]
     h2 = mix(rolling.of(a, b + MATCH) + ((p - a) * 256 + (p - b)).astype(np.uint64))
-    return h1, h2, (a, head), b, p
+    return h1, h2, (a, head), b, p, rolling
 
 
-KINDS = ["<u8", "<u8", "<i8", "<i4", "u1", "u1"]  # key, seed hash, document, place, two offsets
+def _pack_entries(c: list[np.ndarray]) -> bytes:
+    """Entries by document and place; of the seed's hash the low six bytes, to which the range adds some bits."""
+    order = np.lexsort((c[3], c[2]))
+    key, seed, doc, p, hi, lo, sides = (x[order] for x in c)
+    low = np.ascontiguousarray(seed.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    return len(key).to_bytes(8, "little") + b"".join((key.tobytes(), low.tobytes(), exchange.steps(doc), exchange.steps(p.astype(np.int64)), hi.tobytes(), lo.tobytes(), sides.tobytes()))
+
+
+def _unpack_entries(payload: bytes, part: int) -> Run:
+    n, at, out = int.from_bytes(payload[:8], "little"), 8, []
+    for width in (8, 6, 8, 8, 1, 1, 4):
+        out.append(np.frombuffer(payload, np.uint8, n * width, at))
+        at += n * width
+    seed = np.zeros((n, 8), np.uint8)
+    seed[:, :6] = out[1].reshape(n, 6)
+    seed = seed.view("<u8").ravel() | _U((part & 0xFFFF) << 48)
+    return Run([out[0].view("<u8").copy(), seed, exchange.unsteps(out[2]), exchange.unsteps(out[3]).astype(np.int32), out[4].copy(), out[5].copy(), out[6].view("<u4").copy()])
+
+
+def _pack_windows(c: list[np.ndarray]) -> bytes:
+    order = np.lexsort((c[3], c[2]))
+    key, seed, doc, p = (x[order] for x in c)
+    return len(key).to_bytes(8, "little") + b"".join((key.tobytes(), seed.astype("<u4").tobytes(), exchange.steps(doc), exchange.steps(p.astype(np.int64))))
+
+
+def _unpack_windows(payload: bytes) -> Run:
+    n, at, out = int.from_bytes(payload[:8], "little"), 8, []
+    for width in (8, 4, 8, 8):
+        out.append(np.frombuffer(payload, np.uint8, n * width, at))
+        at += n * width
+    return Run([out[0].view("<u8").copy(), out[1].view("<u4").copy(), exchange.unsteps(out[2]), exchange.unsteps(out[3]).astype(np.int32)])
 
 
 class Run:
@@ -182,8 +218,8 @@ class LevelFamily:
 
 
 def _entries(data: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> Run:
-    h1, h2, owner, p, a, b = anchors(data, ends)
-    return Run([mix(h1 ^ mix(h2)), h1, docs[owner], (p - ends[owner]).astype(np.int32), (p - a).astype(np.uint8), (p - b).astype(np.uint8)])
+    h1, h2, sides, owner, p, a, b = anchors(data, ends)
+    return Run([mix(h1 ^ mix(h2)), h1, docs[owner], (p - ends[owner]).astype(np.int32), (p - a).astype(np.uint8), (p - b).astype(np.uint8), sides])
 
 
 FOUND = "doc long, start int, stop int, rim boolean, seed long"
@@ -191,7 +227,7 @@ FOUND = "doc long, start int, stop int, rim boolean, seed long"
 
 def _intervals(run: Run) -> pa.RecordBatch:
     """Bytes of entries that have an earlier equal: from their first window's start to their last one's end."""
-    _, _, doc, p, hi, lo = run.columns
+    _, _, doc, p, hi, lo, _ = run.columns
     start, stop = p.astype(np.int64) - hi, p.astype(np.int64) - lo + MATCH
     return _merged(doc, start, stop)
 
@@ -215,23 +251,37 @@ def _found(doc, start, stop, rim: bool, seed) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(np.full(n, rim)), pa.array(seed.view(np.int64) if seed.dtype == np.uint64 else seed)], names=["doc", "start", "stop", "rim", "seed"])
 
 
-def _rims(run: Run) -> pa.RecordBatch:
-    """Entries whose windows go to the second round: start and stop are their first and last window's start."""
-    _, h1, doc, p, hi, lo = run.columns
-    return _found(doc, p.astype(np.int64) - hi, p.astype(np.int64) - lo, True, h1)
+def _rims(run: Run, before: np.ndarray | None = None, after: np.ndarray | None = None) -> pa.RecordBatch:
+    """Windows for the second round, as stretches of starts: of all entries, or those of more bytes before the seed where
+    another entry agrees before it, and those of more bytes after it where another agrees after it."""
+    _, h1, doc, p, hi, lo, _ = run.columns
+    p, hi, lo = (x.astype(np.int64) for x in (p, hi, lo))
+    if before is None:
+        return _found(doc, p - hi, p - lo, True, h1)
+    first = np.where(before, p - hi, p - np.minimum(hi, HALF))
+    last = np.where(after, p - lo, p - np.maximum(lo, HALF))
+    some = (before | after) & (first <= last)
+    return _found(doc[some], first[some], last[some], True, h1[some])
 
 
-def _to_batch(part: int, found: pa.RecordBatch) -> tuple[int, bytes]:
+def _to_rows(found: pa.RecordBatch, parts: int) -> list[tuple[int, bytes]]:
+    """Settled rows, which only pass through the exchange, in payloads of bounded size spread over its parts."""
     cols = [found.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-    return part, b"\1" + exchange.pack([cols[0], cols[1], cols[2], cols[3].astype(np.uint8), cols[4]])
+    cols[3] = cols[3].astype(np.uint8)
+    first = int(mix(cols[0][:1].astype(np.uint64))[0] % _U(parts)) if len(cols[0]) else 0
+    return [((first + k) % parts, b"\1" + exchange.pack([c[at : at + 8192] for c in cols])) for k, at in enumerate(range(0, len(cols[0]), 8192))]
+
+
+def _range(seed: np.ndarray, parts: int) -> np.ndarray:
+    """The range of a seed's hash. It is mixed first: seeds are chosen for their least hashes, so those lie close together."""
+    return exchange.part_of(mix(seed), parts)
 
 
 def _send_entries(family: LevelFamily, parts: int, later: list[Run]) -> Iterator[pa.RecordBatch]:
     """What a map task sends: settled stretches and crowded seeds as they are, the other entries by range of the seed's hash."""
     rows: list[tuple[int, bytes]] = []
     if later and sum(map(len, later)):
-        found = _intervals(Run.join(later))
-        rows.append(_to_batch(int(found.column(0)[0].as_py()) % parts, found))
+        rows += _to_rows(_intervals(Run.join(later)), parts)
     run = family.entries()
     if run is not None:
         run = run.take(np.argsort(run.columns[1], kind="stable"))
@@ -242,11 +292,10 @@ def _send_entries(family: LevelFamily, parts: int, later: list[Run]) -> Iterator
         # Two entries of a crowded seed take the usual way, so that others' entries of it are known to be at a rim.
         crowded = (np.repeat(sizes, sizes) > MANY) & (rank >= 2)
         if crowded.any():
-            found = _rims(run.take(np.flatnonzero(crowded)))
-            rows.append(_to_batch(int(found.column(0)[0].as_py()) % parts, found))
+            rows += _to_rows(_rims(run.take(np.flatnonzero(crowded))), parts)
         keep = np.flatnonzero(~crowded)
         columns = [c[keep] for c in run.columns]
-        rows += [(part, b"\0" + exchange.pack(cols)) for part, cols in exchange.split(exchange.part_of(columns[1], parts), columns)]
+        rows += [(part, b"\0" + _pack_entries(cols)) for part, cols in exchange.split(_range(columns[1], parts), columns)]
     if rows:
         yield exchange.to_batch(rows)
 
@@ -258,20 +307,26 @@ def _passed(payload: bytes) -> pa.RecordBatch:
 
 def _settle(parts: Iterator[tuple[int, Iterator[bytes]]]) -> Iterator[pa.RecordBatch]:
     """First round: entries with an earlier equal are repeats as a whole; of seeds in several contexts the rest are rims."""
-    for _, payloads in parts:
+    for part, payloads in parts:
         family = LevelFamily()
         for payload in payloads:
             if payload[0]:
                 yield _passed(payload)
                 continue
-            later = family.add(Run([c.copy() for c in exchange.unpack(payload[1:], KINDS)]))
+            later = family.add(_unpack_entries(payload[1:], part))
             if len(later):
                 yield _intervals(later)
         if (run := family.entries()) is not None:
             seeds, inverse, n = np.unique(run.columns[1], return_inverse=True, return_counts=True)
-            rim = np.flatnonzero(n[inverse] > 1)
+            rim = run.take(np.flatnonzero(n[inverse] > 1))
             if len(rim):
-                yield _rims(run.take(rim))
+                yield _rims(rim, *(_shared(rim.columns[1], side) for side in (rim.columns[6] >> np.uint32(16), rim.columns[6] & np.uint32(0xFFFF))))
+
+
+def _shared(seed: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which entries have another of the same seed and side."""
+    _, inverse, n = np.unique(mix(seed) ^ side.astype(np.uint64), return_inverse=True, return_counts=True)
+    return n[inverse] > 1
 
 
 def _settle_windows(parts: Iterator[tuple[int, Iterator[bytes]]]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +337,7 @@ def _settle_windows(parts: Iterator[tuple[int, Iterator[bytes]]]) -> Iterator[pa
             if payload[0]:
                 yield _passed(payload)
                 continue
-            later = family.add(Run([c.copy() for c in exchange.unpack(payload[1:], KINDS[:4])]))
+            later = family.add(_unpack_windows(payload[1:]))
             if len(later):
                 yield _window_stretches(later)
 
@@ -309,7 +364,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, later, held = LevelFamily(), [], 0
-        for b in slices(batches):
+        for b in slices(batches, limit=CHUNK):
             data, ends = text_buffer(b.column("text"))
             run = _entries(data, ends, b.column("_ord").to_numpy())
             held += len(run)
@@ -325,7 +380,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, later, held = LevelFamily(), [], 0
-        for b in slices(batches):
+        for b in slices(batches, limit=CHUNK):
             data, ends = text_buffer(b.column("text"))
             rolling = Rolling(data)
             rims = b.column("rims")
@@ -337,7 +392,7 @@ def repeats(docs: DataFrame) -> DataFrame:
             s = spread(start, size)
             owner, seed = np.repeat(owner, size), np.repeat(seed, size).view(np.uint64)
             at = s + ends[owner]
-            run = Run([mix(seed ^ mix(rolling.of(at, at + MATCH))), seed, b.column("_ord").to_numpy()[owner], s.astype(np.int32)])
+            run = Run([mix(seed ^ mix(rolling.of(at, at + MATCH))), seed.astype(np.uint32), b.column("_ord").to_numpy()[owner], s.astype(np.int32)])
             held += len(run)
             later.append(family.add(run))
             if held > GATHER:
@@ -348,10 +403,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     def send(family: LevelFamily, later: list[Run]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, bytes]] = []
         if later and sum(map(len, later)):
-            f = _window_stretches(Run.join(later))
-            rows.append(_to_batch(int(f.column(0)[0].as_py()) % parts, f))
+            rows += _to_rows(_window_stretches(Run.join(later)), parts)
         if (run := family.entries()) is not None:
-            rows += [(part, b"\0" + exchange.pack(cols)) for part, cols in exchange.split(exchange.part_of(run.columns[0], parts), run.columns)]
+            rows += [(part, b"\0" + _pack_windows(cols)) for part, cols in exchange.split(exchange.part_of(run.columns[0], parts), run.columns)]
         if rows:
             yield exchange.to_batch(rows)
 
