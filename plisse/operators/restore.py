@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +14,13 @@ STORE = "restore_id string, original binary, cost bigint, stored_at timestamp, s
 
 
 def entries(originals: DataFrame, stored_at: Column, first_seq: Column) -> DataFrame:
-    """Store rows of originals(restore_id, original, marker, payload_id, seq), numbered in output order."""
-    n = F.row_number().over(Window.orderBy("payload_id", "seq")) + first_seq - 1  # one batch's commits
-    return originals.select("restore_id", "original", (F.octet_length("original") + F.octet_length("marker")).cast("long").alias("cost"), stored_at.alias("stored_at"), n.cast("long").alias("seq"))
+    """Store rows of originals(restore_id, original, marker, payload_id, seq), numbered upwards in output order.
+
+    The rows are sorted by ranges and numbered where they are; numbers ascend but have gaps.
+    """
+    o = originals.orderBy("payload_id", "seq").withColumn("_n", F.monotonically_increasing_id())
+    cost = F.octet_length("original") + F.octet_length("marker")
+    return o.select("restore_id", "original", cost.cast("long").alias("cost"), stored_at.alias("stored_at"), (first_seq + F.col("_n")).cast("long").alias("seq"))
 
 
 def insert(store: DataFrame, new: DataFrame, now: Column, ttl_seconds: int = STORE_TTL_SECONDS, max_bytes: int = STORE_BYTES) -> DataFrame:
@@ -24,9 +29,13 @@ def insert(store: DataFrame, new: DataFrame, now: Column, ttl_seconds: int = STO
     fits = new.where((F.col("cost") <= max_bytes) & F.lit(ttl_seconds > 0))
     both = store.where(~_expired(now, ttl_seconds)).unionByName(fits)
     latest = both.groupBy("restore_id").agg(F.max_by(F.struct("original", "cost", "stored_at", "seq"), "seq").alias("e")).select("restore_id", "e.*")
-    newest = Window.orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # The running sum is over ids and costs alone, a store's bound being a node's memory; the originals are joined to what stays.
-    stays = latest.select("restore_id", "seq", "cost").withColumn("_held", F.sum("cost").over(newest)).where(F.col("_held") <= max_bytes)
+    latest = latest.persist(StorageLevel.MEMORY_AND_DISK)
+    # Running sums in two steps: of the sorted partitions, one row each, and within each; originals are joined to what stays.
+    s = latest.select("restore_id", "seq", "cost").orderBy(F.desc("seq")).withColumn("_p", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = s.groupBy("_p").agg(F.sum("cost").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(ahead), F.lit(0))).drop("_c")
+    newest = Window.partitionBy("_p").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stays = s.join(before, "_p").withColumn("_held", F.col("_before") + F.sum("cost").over(newest)).where(F.col("_held") <= max_bytes)
     return latest.join(stays.select("restore_id"), "restore_id", "left_semi")
 
 

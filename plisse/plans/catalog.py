@@ -136,7 +136,7 @@ def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every commit's original goes to the store and comes back by its id."""
     c = compress(corpus.document_payloads(_read(spark, sf_dir, "documents")), Options(reversible=True))
     now = F.timestamp_seconds(F.lit(1_767_225_600))
-    o = originals(c)
+    o = originals(c).persist()
     store = R.insert(spark.createDataFrame([], R.STORE), R.entries(o, now, F.lit(0)), now, max_bytes=1 << 40)
     back = R.restore(o.select("restore_id").distinct(), store, now)
     return o.join(back.withColumnRenamed("original", "restored"), "restore_id").groupBy(F.col("payload_id").alias("doc_id")).agg(F.count("*").alias("n_commits"), F.count_if(F.col("original") == F.col("restored")).alias("n_restored"))

@@ -40,14 +40,13 @@ def detect_groups(units: DataFrame, options: Options) -> DataFrame:
 
 
 def locate_payloads(payloads: DataFrame, options: Options) -> DataFrame:
-    """payloads(payload_id, body) with schema, noop_reason, spans, dealt by payload: the only shuffle of the bodies."""
-    p = payloads.select("payload_id", "body").repartition("payload_id")
+    """payloads(payload_id, body) with schema, noop_reason, spans; no shuffle."""
     at = locate_column(F.col("body"), options.scope_policy, options.content_type)
-    return p.withColumn("_l", at).select("payload_id", "body", F.col("_l.schema").alias("schema"), F.col("_l.noop_reason").alias("noop_reason"), F.col("_l.spans").alias("spans"))
+    return payloads.select("payload_id", "body").withColumn("_l", at).select("payload_id", "body", F.col("_l.schema").alias("schema"), F.col("_l.noop_reason").alias("noop_reason"), F.col("_l.spans").alias("spans"))
 
 
 def units_of(payloads: DataFrame, options: Options = Options()) -> DataFrame:
-    return split_units(explode_spans(_keep(locate_payloads(payloads, options)), options.marker_style))
+    return split_units(explode_spans(locate_payloads(payloads, options), options.marker_style))
 
 
 def commits_of(found: DataFrame) -> DataFrame:
@@ -60,11 +59,12 @@ def commits_of(found: DataFrame) -> DataFrame:
 def compress(payloads: DataFrame, options: Options = Options()) -> DataFrame:
     """Compact payloads(payload_id, body): (payload_id, body, out, commits, and the statistics).
 
-    Bytes outside the commits stay as they are. A payload of unknown schema or that doesn't parse passes through. Everything
-    after the first shuffle by payload_id is within a payload, so its windows and joins need no other one; a span is one
-    task's. Null bodies count as empty; payload_ids are expected to be unique.
+    Bytes outside the commits stay as they are. A payload of unknown schema or that doesn't parse passes through. Texts are
+    shuffled once, by span, and all windows of the detectors are within a span; bodies once, to meet their commits. Payloads
+    are located in both passes, which costs less than to keep their bodies. Null bodies count as empty; payload_ids are
+    expected to be unique.
     """
-    located = _keep(locate_payloads(payloads, options))
+    located = locate_payloads(payloads, options)
     found = _keep(detect_groups(split_units(explode_spans(located, options.marker_style)), options))
     spans = found.groupBy("payload_id").agg(F.max("degraded").alias("_degraded"), F.sum((F.col("first_record") & ~F.col("degraded")).cast("long")).alias("record_splits"))
     out = splice(located.withColumn("body", F.coalesce("body", F.lit(b""))), commits_of(found)).join(spans, "payload_id", "left")
