@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -65,8 +66,18 @@ def byte_lengths(texts: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker outlives its tasks, and the next stage's need the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most limit bytes of text, so that memory follows the slice; a longer text stands alone."""
+    trim()
     for batch in batches:
         ends = np.cumsum(byte_lengths(batch.column(column)))
         at = 0
@@ -75,6 +86,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(at, stop - at)
             at = stop
+    trim()
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import shuffle_parts
+from .common import shuffle_parts, trim
 
 SCHEMA = "part int, payload binary"
 
@@ -80,6 +80,8 @@ def deal(sent: DataFrame, reduce: Callable[[Iterator[tuple[int, Iterator[bytes]]
                 for _ in own:
                     pass
 
+        trim()
         yield from reduce(parts())
+        trim()
 
     return sent.repartitionById(ranges(sent), "part").mapInArrow(run, schema)

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from . import word_tokens
-from .common import slices, table
+from .common import slices, table, trim
 
 WINDOW = 4096
 END_ID = 2
@@ -124,6 +124,8 @@ def pack(docs: DataFrame, tokenizer: str = word_tokens.TOKENIZER, window: int =
         pour(True)
         if rows:
             yield _batch(rows)
+        rows = []
+        trim()
 
     return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")
 

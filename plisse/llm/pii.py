@@ -125,9 +125,9 @@ def term_counts(docs: DataFrame, wanted: list[int] | None) -> DataFrame:
         keep = None if wanted is None else np.sort(np.array(wanted, np.int64))
         known: dict[str, tuple[int, ...]] = {}
         held: dict[int, int] = {}
-        for b in slices(batches):
+        for b in slices(batches, limit=2 << 20):
             words, codes, ends = split_words(b.column("text"))
-            if len(known) > 1_000_000:
+            if len(known) > 150_000:
                 known.clear()
             for w in words:
                 if w not in known:
@@ -150,7 +150,7 @@ def term_counts(docs: DataFrame, wanted: list[int] | None) -> DataFrame:
             counts = np.bincount(pairs % len(terms), minlength=len(terms))
             for t, n in zip(terms.tolist(), counts.tolist(), strict=True):
                 held[t] = held.get(t, 0) + n
-            if len(held) > 500_000:
+            if len(held) > 200_000:
                 yield send(held)
                 held = {}
         if held:

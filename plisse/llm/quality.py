@@ -21,11 +21,11 @@ BUCKETS, DIM, GRAMS = 1 << 16, 16, (3, 4)
 #: Rows of the embedding after the hashed ones: a word that differs from the one before it, a word that repeats it.
 PAIRS, SAME_WEIGHT = 2, 4.0
 #: Bound on the labelled documents that come to the driver for training, and on their passes.
-SAMPLE_DOCS, EPOCHS, RATE = 4000, 4, 0.5
+SAMPLE_DOCS, EPOCHS, RATE = 3000, 5, 0.5
 FOLDS = 5
 CUT = 0.3
 #: Distinct words whose vectors a worker remembers (68 bytes each and the word).
-REMEMBER = 1_000_000
+REMEMBER = 120_000
 
 
 def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -33,7 +33,11 @@ def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
     ends = np.asarray(split.offsets).astype(np.int64)
     coded = split.flatten().dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), ends - ends[0]
+    words, codes, ends = coded.dictionary.to_pylist(), coded.indices.to_numpy(), ends - ends[0]
+    if "" in words:  # white space at a text's ends, or nothing else in it
+        real = codes != words.index("")
+        codes, ends = codes[real], np.concatenate(([0], np.cumsum(real)))[ends]
+    return words, codes, ends
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +74,20 @@ def repeats(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.maximum(0, n - 1) - equal, equal
 
 
+def _sorted_features(words: list[str], chunk: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words, one word after the other, and where each starts and the last one ends."""
+    buckets, sizes = [], []
+    for at in range(0, len(words), chunk):
+        part = words[at : at + chunk]
+        fw, fb = features(part)
+        order = np.argsort(fw, kind="stable")
+        buckets.append(fb[order].astype(np.int32))
+        sizes.append(np.bincount(fw, minlength=len(part)))
+    if not buckets:
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+    return np.concatenate(buckets), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+
+
 def train(texts: list[str | None], labels: list[int], seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embeddings, output weights and bias by stochastic gradient descent on the softmax loss, one document at a time."""
     rng = np.random.default_rng(seed)
@@ -78,16 +96,14 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> tuple[np
     words, codes, ends = split_words(pa.array(texts, pa.string()))
     docs = []
     differ, equal = repeats(codes, ends)
-    fw, fb = features(words)
-    order = np.argsort(fw, kind="stable")
-    fb, starts = fb[order], np.searchsorted(fw[order], np.arange(len(words) + 1))
+    fb, starts = _sorted_features(words)
     for i in range(len(texts)):
         used, count = np.unique(codes[ends[i] : ends[i + 1]], return_counts=True)
         size = starts[used + 1] - starts[used]
-        buckets = np.concatenate([fb[starts[u] : starts[u + 1]] for u in used]) if len(used) else np.zeros(0, np.int64)
+        buckets = np.concatenate([fb[starts[u] : starts[u + 1]] for u in used]) if len(used) else np.zeros(0, np.int32)
         at, inverse = np.unique(buckets, return_inverse=True)
         weight = np.bincount(inverse, weights=np.repeat(count, size), minlength=len(at)).astype(np.float32)
-        at, weight = np.append(at, [BUCKETS, BUCKETS + 1]), np.append(weight, [SAME_WEIGHT * differ[i], SAME_WEIGHT * equal[i]]).astype(np.float32)
+        at, weight = np.append(at, [BUCKETS, BUCKETS + 1]).astype(np.int32), np.append(weight, [SAME_WEIGHT * differ[i], SAME_WEIGHT * equal[i]]).astype(np.float32)
         docs.append((at, weight / max(1.0, weight.sum())))
     steps, total = 0, max(1, EPOCHS * len(docs))
     for _ in range(EPOCHS):
@@ -176,7 +192,7 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.nda
             _scorers.clear()
             _scorers[name] = Scorer(sent.value)
         own = _scorers[name]
-        for b in slices(batches):
+        for b in slices(batches, limit=2 << 20):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.score(b.column("text")))], names=[*b.schema.names, "_score"])
 
     return base.mapInArrow(run, schema)

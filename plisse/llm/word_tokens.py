@@ -13,9 +13,9 @@ from .common import spread
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Words of unusual form that a worker remembers; beyond it the memory is emptied, so that it stays bounded.
-REMEMBER = 300_000
+REMEMBER = 100_000
 #: Bytes of text that are encoded at once: large enough that words repeat.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: A run of Latin letters that normalisation leaves letters one by one, and after it ASCII marks: the splitter makes the run
 #: one piece and the marks another. No apostrophe, which can start a piece with letters, and no '<', which can start a special token.
 USUAL = r'^(?P<stem>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{148}\x{14A}-\x{17E}]+)(?P<tail>[!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)$'
