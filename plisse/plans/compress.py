@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plisse.functions import text as T
+from plisse.functions.tables import materialize
 from plisse.operators.blocks import fold_blocks
 from plisse.operators.runs import fold_runs, unclaimed, with_ids
 from plisse.operators.splice import originals, splice
@@ -17,11 +17,6 @@ from plisse.sources.locate import locate_column, mismatch
 COUNTERS = {"exact_runs": "exact_run", "ws_runs": "ws_run", "block_repeats": "block", "template_groups": "template_group", "templated_blocks": "templated_block"}
 
 
-def _keep(df: DataFrame) -> DataFrame:
-    """What several plans read next; kept in memory or on disk, and recomputed where an executor is lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def detect_groups(units: DataFrame, options: Options) -> DataFrame:
     """units with claimed, commit and degraded after all stages; each stage sees what the earlier ones left."""
     u = unclaimed(units).withColumn("ws", T.normalize_ws(F.col("raw"))).withColumn("masked", T.mask(F.col("ws")))
@@ -31,10 +26,10 @@ def detect_groups(units: DataFrame, options: Options) -> DataFrame:
     u = with_ids(with_ids(u, "masked", "masked_id", False), "ws", "ws_id", True)
     span = Window.partitionBy(*SPAN)
     first = lambda c: F.sum((F.col(c) == F.col("unit_no")).cast("long")).over(span) > TABLE_KEYS
-    u = _keep(u.withColumn("degraded", first("masked_id") | first("ws_id")).drop("raw", "ws", "masked"))
+    u = materialize(u.withColumn("degraded", first("masked_id") | first("ws_id")).drop("raw", "ws", "masked"), "units")
     u = fold_blocks(u, "block", "ws_id", "masked_id", MIN_BLOCK_LINES, MAX_BLOCK_LINES)
     if options.template_dedup:
-        u = _keep(fold_runs(u, "template_group", "masked_id", options.min_group_size))
+        u = materialize(fold_runs(u, "template_group", "masked_id", options.min_group_size), "units")
         u = fold_blocks(u, "templated_block", "masked_id", "masked_id", 1, MAX_BLOCK_LINES)
     return u
 
@@ -65,7 +60,7 @@ def compress(payloads: DataFrame, options: Options = Options()) -> DataFrame:
     expected to be unique.
     """
     located = locate_payloads(payloads, options)
-    found = _keep(detect_groups(split_units(explode_spans(located, options.marker_style)), options))
+    found = materialize(detect_groups(split_units(explode_spans(located, options.marker_style)), options).select(*SPAN, "base", "style", "degraded", "first_record", "commit"), "commits")
     spans = found.groupBy("payload_id").agg(F.max("degraded").alias("_degraded"), F.sum((F.col("first_record") & ~F.col("degraded")).cast("long")).alias("record_splits"))
     out = splice(located.withColumn("body", F.coalesce("body", F.lit(b""))), commits_of(found)).join(spans, "payload_id", "left")
     count = {name: _count(kind) for name, kind in COUNTERS.items()}
