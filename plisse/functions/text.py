@@ -33,7 +33,9 @@ def normalize_ws(raw: Column) -> Column:
 def with_breaks(text: Column) -> Column:
     """The text with each line break (an escaped line feed) replaced by a stand-in for its two or six bytes."""
     kept = F.transform(lexemes(text), lambda x: F.when(x == "\\n", BREAK2).when(x.isin("\\u000A", "\\u000a"), BREAK6).otherwise(x))
-    return F.when(F.contains(text, F.lit("\\")), F.array_join(kept, "")).otherwise(text)
+    # Where every backslash begins an escaped line feed, and that is nearly everywhere, a plain replacement does.
+    plain = ~text.rlike(r"\\(?:[^n]|\z)")
+    return F.when(plain, F.replace(text, F.lit("\\n"), F.lit(BREAK2))).otherwise(F.array_join(kept, ""))
 
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|[01]\d\d|\d{1,2})(?!\d)"
@@ -56,7 +58,8 @@ def _v6() -> str:
                 forms.append(rf"{left}(?:{g}:){{{b}}}\z")
             if cost + 2 * b + 2 <= 7:
                 forms.append(rf"{left}(?:{g}:){{{b}}}{_V4}")
-    return "|".join(forms)
+    # Few texts have a colon so near: without one the forms aren't tried.
+    return rf"(?={g[: g.index('(')].replace('{1,4}', '{0,4}')}:)(?:{'|'.join(forms)})"
 
 
 #: What is masked, in order of priority at one place. Fixed patterns.
