@@ -28,11 +28,14 @@ from .common import mix, save, shuffle_parts, slices, spread, table, text_buffer
 MATCH, SEED = 100, 32
 #: Equal windows agree in at least so many bytes to one side of their seed.
 HALF = (MATCH - SEED) // 2
-#: Contexts of one seed in one task beyond which they go to the second round at once, so that no seed fills a task.
+#: Contexts of one seed in one task beyond which they go to the second round at once, so that no seed fills a task; the others
+#: of such a seed follow them, all their windows, once its range has been told of it.
 MANY = 256
 #: Entries that a map task gathers before it sends them; bytes of text, and of window starts, looked at together.
 GATHER, CHUNK = 1_000_000, 1 << 20
 _U = np.uint64
+#: The bits of a seed's hash that entries carry to their range.
+_SENT = _U((1 << 48) - 1)
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _CODE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -255,6 +258,7 @@ def _rims(run: Run, before: np.ndarray | None = None, after: np.ndarray | None =
     """Windows for the second round, as stretches of starts: of all entries, or those of more bytes before the seed where
     another entry agrees before it, and those of more bytes after it where another agrees after it."""
     _, h1, doc, p, hi, lo, _ = run.columns
+    h1 = h1 & _SENT  # windows of map tasks and of ranges meet, so both must name a seed alike
     p, hi, lo = (x.astype(np.int64) for x in (p, hi, lo))
     if before is None:
         return _found(doc, p - hi, p - lo, True, h1)
@@ -278,7 +282,8 @@ def _range(seed: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _send_entries(family: LevelFamily, parts: int, later: list[Run]) -> Iterator[pa.RecordBatch]:
-    """What a map task sends: settled stretches and crowded seeds as they are, the other entries by range of the seed's hash."""
+    """What a map task sends: settled stretches and entries of crowded seeds as they are, the other entries and the names of
+    the crowded seeds by range of the seed's hash."""
     rows: list[tuple[int, bytes]] = []
     if later and sum(map(len, later)):
         rows += _to_rows(_intervals(Run.join(later)), parts)
@@ -288,11 +293,11 @@ def _send_entries(family: LevelFamily, parts: int, later: list[Run]) -> Iterator
         seed = run.columns[1]
         head = np.flatnonzero(np.append(True, seed[1:] != seed[:-1]))
         sizes = np.diff(np.append(head, len(seed)))
-        rank = np.arange(len(seed)) - np.repeat(head, sizes)
-        # Two entries of a crowded seed take the usual way, so that others' entries of it are known to be at a rim.
-        crowded = (np.repeat(sizes, sizes) > MANY) & (rank >= 2)
+        crowded = np.repeat(sizes, sizes) > MANY
         if crowded.any():
             rows += _to_rows(_rims(run.take(np.flatnonzero(crowded))), parts)
+            names = seed[head[sizes > MANY]]
+            rows += [(part, b"\2" + cols[0].astype("<u8").tobytes()) for part, cols in exchange.split(_range(names, parts), [names])]
         keep = np.flatnonzero(~crowded)
         columns = [c[keep] for c in run.columns]
         rows += [(part, b"\0" + _pack_entries(cols)) for part, cols in exchange.split(_range(columns[1], parts), columns)]
@@ -306,10 +311,14 @@ def _passed(payload: bytes) -> pa.RecordBatch:
 
 
 def _settle(parts: Iterator[tuple[int, Iterator[bytes]]]) -> Iterator[pa.RecordBatch]:
-    """First round: entries with an earlier equal are repeats as a whole; of seeds in several contexts the rest are rims."""
+    """First round: entries with an earlier equal are repeats as a whole; of seeds in several contexts the rest are rims. What
+    is here of a seed that was crowded in any map task can equal windows that aren't, so all its windows go on."""
     for part, payloads in parts:
-        family = LevelFamily()
+        family, crowded = LevelFamily(), np.zeros(0, np.uint64)
         for payload in payloads:
+            if payload[0] == 2:
+                crowded = np.union1d(crowded, np.frombuffer(payload, "<u8", offset=1) & _SENT)
+                continue
             if payload[0]:
                 yield _passed(payload)
                 continue
@@ -318,7 +327,10 @@ def _settle(parts: Iterator[tuple[int, Iterator[bytes]]]) -> Iterator[pa.RecordB
                 yield _intervals(later)
         if (run := family.entries()) is not None:
             seeds, inverse, n = np.unique(run.columns[1], return_inverse=True, return_counts=True)
-            rim = run.take(np.flatnonzero(n[inverse] > 1))
+            full = np.isin(seeds & _SENT, crowded)
+            if full.any():
+                yield _rims(run.take(np.flatnonzero(full[inverse])))
+            rim = run.take(np.flatnonzero(((n > 1) & ~full)[inverse]))
             if len(rim):
                 yield _rims(rim, *(_shared(rim.columns[1], side) for side in (rim.columns[6] >> np.uint32(16), rim.columns[6] & np.uint32(0xFFFF))))
 

@@ -101,6 +101,30 @@ def test_suffix_dedup(spark, monkeypatch, seed, many, gather):
         assert cut[d] is None or abs(len(cut[d].encode()) - len(kept)) <= 2 * n and (gone or cut[d].encode() == kept)
 
 
+def crowds(seed, n, partners):
+    """Two tasks' rows: a line in n contexts, and in a few that each share bytes at one side with one of those, before or after it in order."""
+    rng = random.Random(seed)
+    noise = lambda k: "".join(rng.choice("abcdefghijklmnop ") for _ in range(k))
+    line = noise(90)
+    heads, tails = ([noise(80) for _ in range(n)] for _ in range(2))
+    many = [(1000 + i, heads[i] + line + tails[i]) for i in range(n)]
+    few = []
+    for k in range(partners):
+        i = rng.randrange(n)
+        text = noise(60) + heads[i][-25:] + line + noise(70) if k % 2 else noise(70) + line + tails[i][:25] + noise(60)
+        few.append((k if k % 4 < 2 else 5000 + k, text))
+    return many, few
+
+
+def test_suffix_dedup_of_a_line_crowded_in_one_task_only(spark):
+    many, few = crowds(8, 400, 24)
+    two = spark.sparkContext.union([spark.sparkContext.parallelize(rows, 1) for rows in (many, few)])  # a task each
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(spark.createDataFrame(two, "doc_id long, text string")).collect()}
+    want = {d: x[:4] for d, x in removed(sorted(many + few)).items()}
+    assert sum(x[1] > 0 for x in want.values()) >= 24
+    assert got == want
+
+
 def test_suffix_dedup_of_odd_input(spark):
     rows, df = hostile(spark)
     got = suffix_dedup.remove_repeats(df).collect()
