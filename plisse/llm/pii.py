@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,14 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-WORD = re.compile(r"[^\W\d_]{4,}")
-#: Words on each side of a span, on its line, that count as its context; documents in which a term must stand with a value;
-#: share of the value's information content that a term must reveal to be taken out; terms that are broadcast at most.
-CONTEXT, SUPPORT, DISCLOSED, BROADCAST_TERMS = 8, 2, 0.9, 200_000
+WORD = re.compile(r"[^\W\d_]+")
+#: Runs of scripts that put no space between words: their pairs and triples of characters are terms too.
+UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]{2,}")
+#: Short words of grammar, which name nobody; only as written here, so that a capitalised name of the same letters is a term.
+GRAMMAR = frozenset("a all am an and any are as at be but by can did do for get go got had has he her him his how i if in is it its let may me my no nor not now of off on or our out own per she so the to too up us was we who why yes yet you".split())
+#: Documents in which a term must stand with a value; share of the value's information content that a term must reveal to be
+#: taken out; terms, and pairs of value and term, that are sent to every task at most; pairs that a task adds up at a time.
+SUPPORT, DISCLOSED, BROADCAST_TERMS, GATHER = 2, 0.9, 200_000, 200_000
 
 
 def luhn(digits: str) -> bool:
@@ -71,42 +76,57 @@ def key64(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(value, term, start, end) of the terms around each span, on its line, at most CONTEXT words to either side."""
-    out = []
-    for start, kind, end in spans:
-        value = key64(f"{KINDS[kind]}:{text[start:end].lower()}")
-        # A word is looked for in a window of text that grows with CONTEXT, so a very long line costs no more.
-        lo = max(text.rfind("\n", 0, start) + 1, start - 64 * CONTEXT)
-        hi = text.find("\n", end)
-        hi = min(hi if hi >= 0 else len(text), end + 64 * CONTEXT)
-        before = list(WORD.finditer(text, lo, start))[-CONTEXT:]
-        after = [m for _, m in zip(range(CONTEXT), WORD.finditer(text, end, hi), strict=False)]
-        out.extend((value, key64(m[0].lower()), m.start(), m.end()) for m in before + after if not any(s < m.end() and m.start() < e for s, _, e in spans))
-    return out
+def words_of(text: str) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of every word of a text in lower case, and of pairs and triples of characters in unspaced scripts."""
+    for m in WORD.finditer(text):
+        word, at = m[0], m.start()
+        if word not in GRAMMAR:
+            yield word.lower(), at, m.end()
+        if not word.isascii():
+            for run in UNSPACED.finditer(word):
+                for n in (2, 3):
+                    if n < len(word):
+                        for k in range(run.start(), run.end() - n + 1):
+                            yield word[k : k + n].lower(), at + k, at + k + n
+
+
+def terms_beside(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    """words_of the whole text without those that touch one of the sorted spans (start, end)."""
+    free = bytearray(len(text) + 1)
+    for start, end in spans:
+        free[start:end] = b"\1" * (end - start)
+    return (x for x in words_of(text) if not free.find(1, x[1], x[2]) >= 0)
+
+
+class Keys(dict):
+    """key64 of terms, remembered for a bounded number of them."""
+
+    def __missing__(self, term: str) -> int:
+        if len(self) > 150_000:
+            self.clear()
+        out = self[term] = key64(term)
+        return out
 
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
-CTX = "array<struct<value:long,term:long,start:int,end:int>>"
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
 
 def locate(docs: DataFrame) -> DataFrame:
-    """docs with _row long, _base (the fixed spans) and _ctx (terms around them)."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", _row long, _base {SPAN}, _ctx {CTX}"
-    span_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    ctx_type = pa.list_(pa.struct([("value", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+    """docs with _row long, _base (the fixed spans) and _values (the distinct keys of their values)."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", _row long, _base {SPAN}, _values array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for b in slices(batches):
-            spans, ctx = [], []
+            spans, values = [], []
             for text in b.column("text").to_pylist():
                 s = base_spans(text or "")
                 spans.append([{"start": x[0], "kind": x[1], "end": x[2]} for x in s])
-                ctx.append([{"value": x[0], "term": x[1], "start": x[2], "end": x[3]} for x in contexts(text, s)] if s else [])
+                values.append(list({key64(f"{KINDS[kind]}:{text[start:end].lower()}") for start, kind, end in s}))
             rows = pa.array(np.arange(row, row + b.num_rows))
             row += b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, rows, pa.array(spans, span_type), pa.array(ctx, ctx_type)], names=[*b.schema.names, "_row", "_base", "_ctx"])
+            yield pa.RecordBatch.from_arrays([*b.columns, rows, pa.array(spans, SPANS), pa.array(values, pa.list_(pa.int64()))], names=[*b.schema.names, "_row", "_base", "_values"])
 
     return docs.mapInArrow(run, schema)
 
@@ -130,7 +150,7 @@ def term_counts(docs: DataFrame, wanted: list[int] | None) -> DataFrame:
                 known.clear()
             for w in words:
                 if w not in known:
-                    known[w] = tuple({key64(m[0].lower()) for m in WORD.finditer(w)})
+                    known[w] = tuple({key64(x[0]) for x in words_of(w)})
             sizes = np.fromiter((len(known[w]) for w in words), np.int64, len(words))
             flat = np.fromiter((t for w in words for t in known[w]), np.int64, int(sizes.sum()))
             ok = np.ones(len(flat), bool) if keep is None else np.isin(flat, keep)
@@ -158,43 +178,107 @@ def term_counts(docs: DataFrame, wanted: list[int] | None) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """The given columns of each row, and its terms as an iterator of (term, start, end)."""
+    for b in slices(batches):
+        for text, base, *rest in zip(b.column("text").to_pylist(), b.column("_base").to_pylist(), *(b.column(c).to_pylist() for c in columns), strict=True):
+            yield *rest, terms_beside(text or "", [(x["start"], x["end"]) for x in base])
+
+
+def pair_counts(asked: DataFrame) -> DataFrame:
+    """(value, term, n): in how many of the rows (text, _base, _held) a held value and a term stand; each task adds up first."""
+
+    def send(held: dict[int, Counter]) -> pa.RecordBatch:
+        value = np.repeat(np.array(list(held), np.int64), [len(c) for c in held.values()])
+        return pa.RecordBatch.from_arrays([pa.array(value), pa.array([t for c in held.values() for t in c], pa.int64()), pa.array([n for c in held.values() for n in c.values()], pa.int64())], names=["value", "term", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, held, size = Keys(), {}, 0
+        for values, words in _rows(batches, "_held"):
+            terms = {keys[x[0]] for x in words}
+            for v in values:
+                c = held.setdefault(v, Counter())
+                size -= len(c)
+                c.update(terms)
+                size += len(c)
+                if size > GATHER:
+                    yield send(held)
+                    held, size = {}, 0
+        if held:
+            yield send(held)
+
+    return asked.select("text", "_base", "_held").mapInArrow(run, "value long, term long, n long").groupBy("value", "term").agg(F.sum("n").alias("n_both"))
+
+
 def disclosing(located: DataFrame, docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
     """(value, term) pairs whose pointwise mutual information reaches `disclosed` of the value's information content.
 
-    N documents; c(v), c(t), c(t,v) documents with the value, the term, the term in the value's context. The value's
+    N documents; c(v), c(t), c(t,v) documents with the value, the term, both, wherever in the text they stand. The value's
     information content is log2(N / c(v)); the term reveals log2(N c(t,v) / (c(v) c(t))) of it. Terms seen with a value in
-    fewer than `support` documents prove nothing. Counts are over all documents.
+    fewer than `support` documents prove nothing, so only documents of values that occur in as many are expanded. Counts are
+    over all documents.
     """
-    each = located.where(F.size("_ctx") > 0).select("_row", F.explode("_ctx").alias("c")).select("_row", "c.value", "c.term")
-    pairs = each.distinct().groupBy("value", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    values = each.select("_row", "value").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
+    holds = located.where(F.size("_values") > 0)
+    each = holds.select("_row", F.explode("_values").alias("value"))
+    total = located.count()
+    values = save(each.groupBy("value").agg(F.count("*").alias("n_value")).where((F.col("n_value") >= support) & (F.col("n_value") < total)), "pii-values")
+    held = each.join(values, "value").groupBy("_row").agg(F.collect_list("value").alias("_held"))  # within one document
+    pairs = save(pair_counts(holds.join(held, "_row")).where(F.col("n_both") >= support), "pii-pairs")
     terms = save(pairs.select("term").distinct(), "pii-terms")
     few = terms.count() <= BROADCAST_TERMS
     counts = term_counts(docs, [r.term for r in terms.collect()] if few else None)
-    total = located.count()
     n = F.lit(float(max(1, total)))
     content = F.log2(n / F.col("n_value"))
     revealed = F.log2(n * F.col("n_both") / (F.col("n_value") * F.greatest("n", "n_both")))
-    return pairs.join(values, "value").join(counts, "term").where((content > 0) & (revealed >= disclosed * content)).select("value", "term")
+    return pairs.join(values, "value").join(counts, "term").where(revealed >= disclosed * content).select("value", "term")
 
 
 def find(docs: DataFrame, disclosed: float = DISCLOSED, carry: bool = True) -> DataFrame:
-    """docs(doc_id, text, ...) with _base and _spans: the spans of the fixed patterns, and these with the spans of the fixed patterns and of disclosing terms, sorted by start and kind.
+    """docs(doc_id, text, ...) with _base and _spans: the spans of the fixed patterns, and these with every place of the terms that disclose a value of the document, sorted by start and kind.
 
     Offsets are code points, the end exclusive. A null text is empty. The table of located spans is written once; only rows
-    that have a context are joined to the disclosing pairs, the others pass by. A value that a third of the documents hold is
-    one row of the pairs, and its side of the join may be split. Without carry the texts are left out of that table.
+    with a value are looked through for terms, the others pass by. Where few pairs disclose they are sent to every task, else
+    each document's own terms and values are joined to them. Without carry that table has only the texts with a value, and
+    the result none.
     """
     located = locate(docs)
-    located = save(located if carry else located.drop("text"), "pii-spans")
-    flagged = disclosing(located, docs, disclosed)
-    ctx = located.where(F.size("_ctx") > 0)
-    term = F.struct(F.col("c.start").alias("start"), F.lit(len(KINDS) - 1).alias("kind"), F.col("c.end").alias("end"))
-    hits = ctx.select("_row", F.explode("_ctx").alias("c")).join(flagged, (F.col("c.value") == flagged["value"]) & (F.col("c.term") == flagged["term"])).select("_row", term.alias("s"))
-    hits = hits.distinct().groupBy("_row").agg(F.collect_list("s").alias("added"))  # within one document
-    joined = ctx.join(hits, "_row", "left").withColumn("_spans", F.array_sort(F.concat("_base", F.coalesce("added", F.array().cast(SPAN))))).drop("added")
-    plain = located.where(F.size("_ctx") == 0).withColumn("_spans", F.col("_base"))
-    return joined.select(*plain.columns).unionByName(plain).drop("_row", "_ctx")
+    located = save(located if carry else located.withColumn("text", F.when(F.size("_values") > 0, F.col("text"))), "pii-spans")
+    flagged = save(disclosing(located, docs, disclosed), "pii-disclosing")
+    holds = located.where(F.size("_values") > 0)
+    few: dict[int, list[int]] | None = None
+    if flagged.count() <= BROADCAST_TERMS:
+        few = {}
+        for r in flagged.collect():
+            few.setdefault(r.value, []).append(r.term)
+    else:
+
+        def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys = Keys()
+            for row, values, words in _rows(batches, "_row", "_values"):
+                terms = np.fromiter({keys[x[0]] for x in words}, np.int64)
+                for v in values:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), row)), pa.array(np.full(len(terms), v)), pa.array(terms)], names=["_row", "value", "term"])
+
+        own = holds.select("_row", "text", "_base", "_values").mapInArrow(triples, "_row long, value long, term long")
+        own = own.join(flagged, ["value", "term"]).groupBy("_row").agg(F.collect_set("term").alias("_terms"))  # within one document
+        holds = holds.join(own, "_row", "left").withColumn("_values", F.coalesce("_terms", F.array().cast("array<long>"))).drop("_terms").select(*located.columns)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = Keys()
+        for b in slices(batches):
+            out = []
+            for text, base, values in zip(b.column("text").to_pylist(), b.column("_base").to_pylist(), b.column("_values").to_pylist(), strict=True):
+                terms = set(values) if few is None else {t for v in values for t in few.get(v, ())}
+                if terms:
+                    hits = terms_beside(text, [(x["start"], x["end"]) for x in base])
+                    base = sorted(base + [{"start": s, "kind": len(KINDS) - 1, "end": e} for w, s, e in hits if keys[w] in terms], key=lambda x: (x["start"], x["kind"], x["end"]))
+                out.append(base)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, SPANS)], names=[*b.schema.names, "_spans"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in located.schema) + f", _spans {SPAN}"
+    plain = located.where(F.size("_values") == 0).withColumn("_spans", F.col("_base"))
+    found = holds.mapInArrow(mark, schema).unionByName(plain).drop("_row", "_values")
+    return found if carry else found.drop("text")
 
 
 def _text(column: str) -> Column:

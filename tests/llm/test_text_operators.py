@@ -191,6 +191,20 @@ def test_pii(spark):
     assert clean[0] == "please contact <TERM> about it at <EMAIL> today" and clean[10] == rows[4][1]
 
 
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_pii_terms_anywhere_in_the_document(spark, monkeypatch, bound):
+    """On another line, far off, short, in a script without spaces, and every time again, but not where the value isn't."""
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", bound)
+    far = " ".join(f"filler{i}" for i in range(40))
+    rows = [(i, f"Name: Oddvarsen\nEmail: who.{0}@mail.example\n{far} Xu {far}\n我們的張偉明在\nOddvarsen filler1") for i in range(3)]
+    rows += [(10 + i, f"Name: filler\nEmail: me.{i}@mail.example\n{far} 我們的在") for i in range(60)]
+    rows += [(90, "Oddvarsen alone")]
+    clean = {r.doc_id: r.text for r in pii.sanitise(table(spark, rows)).collect()}
+    assert clean[0].startswith("Name: <TERM>\nEmail: <EMAIL>\nfiller0") and clean[0].endswith("\n<TERM> filler1")
+    assert f"\n{far} <TERM> {far}\n" in clean[0] and not {"張", "偉", "明"} & set(clean[0])
+    assert clean[10] == rows[3][1].replace("me.0@mail.example", "<EMAIL>") and clean[90] == "Oddvarsen alone"
+
+
 def test_pii_counts_all_terms_beyond_the_broadcast_bound(spark, monkeypatch):
     rows = [(i, f"ask Marrowby via m{0}@x.example now") for i in range(3)] + [(9 + i, "ask anyone now") for i in range(30)]
     small = {r.doc_id: r.spans for r in pii.digest(pii.find(table(spark, rows), carry=False)).collect()}
