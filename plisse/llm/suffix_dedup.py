@@ -281,7 +281,7 @@ def _range(seed: np.ndarray, parts: int) -> np.ndarray:
     return exchange.part_of(mix(seed), parts)
 
 
-def _send_entries(family: LevelFamily, parts: int, later: list[Run]) -> Iterator[pa.RecordBatch]:
+def _send_entries(family: LevelFamily, parts: int, later: list[Run], many: int) -> Iterator[pa.RecordBatch]:
     """What a map task sends: settled stretches and entries of crowded seeds as they are, the other entries and the names of
     the crowded seeds by range of the seed's hash."""
     rows: list[tuple[int, bytes]] = []
@@ -293,10 +293,10 @@ def _send_entries(family: LevelFamily, parts: int, later: list[Run]) -> Iterator
         seed = run.columns[1]
         head = np.flatnonzero(np.append(True, seed[1:] != seed[:-1]))
         sizes = np.diff(np.append(head, len(seed)))
-        crowded = np.repeat(sizes, sizes) > MANY
+        crowded = np.repeat(sizes, sizes) > many
         if crowded.any():
             rows += _to_rows(_rims(run.take(np.flatnonzero(crowded))), parts)
-            names = seed[head[sizes > MANY]]
+            names = seed[head[sizes > many]]
             rows += [(part, b"\2" + cols[0].astype("<u8").tobytes()) for part, cols in exchange.split(_range(names, parts), [names])]
         keep = np.flatnonzero(~crowded)
         columns = [c[keep] for c in run.columns]
@@ -369,8 +369,12 @@ def _ordered(docs: DataFrame) -> DataFrame:
     return save(dealt.withColumn("_ord", F.monotonically_increasing_id()), "ordered-docs")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """Repeated stretches of docs(_ord, text): rows (doc, start, stop) of bytes, several of which may overlap."""
+def repeats(docs: DataFrame, many: int | None = None, gather: int | None = None) -> DataFrame:
+    """Repeated stretches of docs(_ord, text): rows (doc, start, stop) of bytes, several of which may overlap.
+
+    many and gather stand for MANY and GATHER; both are read here and go to the tasks with the functions.
+    """
+    many, gather = MANY if many is None else many, GATHER if gather is None else gather
     parts = exchange.ranges(docs)
     texts = docs.select("_ord", F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= MATCH)
 
@@ -381,10 +385,10 @@ def repeats(docs: DataFrame) -> DataFrame:
             run = _entries(data, ends, b.column("_ord").to_numpy())
             held += len(run)
             later.append(family.add(run))
-            if held > GATHER:
-                yield from _send_entries(family, parts, later)
+            if held > gather:
+                yield from _send_entries(family, parts, later, many)
                 family, later, held = LevelFamily(), [], 0
-        yield from _send_entries(family, parts, later)
+        yield from _send_entries(family, parts, later, many)
 
     found = save(exchange.deal(texts.mapInArrow(index, exchange.SCHEMA), _settle, FOUND), "suffix-round1")
     rims = found.where("rim").groupBy("doc").agg(F.collect_list(F.struct("seed", "start", "stop")).alias("rims"))  # one document's
@@ -407,7 +411,7 @@ def repeats(docs: DataFrame) -> DataFrame:
             run = Run([mix(seed ^ mix(rolling.of(at, at + MATCH))), seed.astype(np.uint32), b.column("_ord").to_numpy()[owner], s.astype(np.int32)])
             held += len(run)
             later.append(family.add(run))
-            if held > GATHER:
+            if held > gather:
                 yield from send(family, later)
                 family, later, held = LevelFamily(), [], 0
         yield from send(family, later)

@@ -125,6 +125,20 @@ def test_suffix_dedup_of_a_line_crowded_in_one_task_only(spark):
     assert got == want
 
 
+@pytest.mark.parametrize(("many", "gather"), [(3, 1_000_000), (3, 40), (1, 1)])
+def test_suffix_dedup_takes_its_bounds_to_the_tasks(spark, many, gather):
+    """One task is crowded for a seed and another isn't, at small bounds; as brute force finds."""
+    crowd, few = crowds(11, 12, 6)
+    rows = crowd + few[:3], few[3:]
+    two = spark.sparkContext.union([spark.sparkContext.parallelize(x, 1) for x in rows])
+    docs = spark.createDataFrame(two, "_ord long, text string")
+    got = {}
+    for r in suffix_dedup.repeats(docs, many, gather).collect():
+        got.setdefault(r.doc, set()).update(range(r.start, r.stop))
+    want = {d: x[1] for d, x in removed(sorted(crowd + few)).items() if x[1]}
+    assert want and {d: len(x) for d, x in got.items()} == want
+
+
 def test_suffix_dedup_of_odd_input(spark):
     rows, df = hostile(spark)
     got = suffix_dedup.remove_repeats(df).collect()
