@@ -6,12 +6,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
-@F.arrow_udf(StringType())
+@F.arrow_udf(ArrayType(StringType()))
 def _checksums(raw: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else f"{xxhash.xxh3_64_intdigest(x) & 0xFFFF:04x}" for x in raw.to_pylist()], pa.string())
+    return pa.array([None if x is None else [None if a is None else f"{xxhash.xxh3_64_intdigest(a) & 0xFFFF:04x}" for a in x] for x in raw.to_pylist()], pa.list_(pa.string()))
 
 
 @F.arrow_udf(StringType())
@@ -19,8 +19,8 @@ def _ids(raw: pa.Array) -> pa.Array:
     return pa.array([None if x is None else f"{xxhash.xxh3_128_hexdigest(x)}:{len(x)}" for x in raw.to_pylist()], pa.string())
 
 
-def marker_checksum(raw: Column) -> Column:
-    """Low 16 bits of the 64-bit hash of some bytes, as four hexadecimal digits."""
+def marker_checksums(raw: Column) -> Column:
+    """Of an array of bytes, the low 16 bits of each one's 64-bit hash, as four hexadecimal digits."""
     return _checksums(raw)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Escape units: \\uXXXX is six bytes, any other escape two; between them everything else.
 LEXEME = r"(\\u[\s\S]{0,4}|\\[\s\S]|\\$|[^\\]+)"
 #: Stand-ins outside Latin-1.
-OPAQUE_SPACE, BREAK2, BREAK6 = "\u0100", "\u0101", "\u0102"
+OPAQUE_SPACE, BREAK2, BREAK6, BREAK1, PAIR = "\u0100", "\u0101", "\u0102", "\u0103", "\u0104"
 
 
 def latin1(body: Column) -> Column:
@@ -26,16 +26,25 @@ def lexemes(text: Column) -> Column:
 def normalize_ws(raw: Column) -> Column:
     """Runs of spaces and of the escapes for tab, line feed and carriage return become one space; both ends are trimmed."""
     kept = F.transform(lexemes(raw), lambda x: F.when(x.isin("\\t", "\\n", "\\r"), " ").when(x.startswith("\\u"), F.translate(x, " ", OPAQUE_SPACE)).otherwise(x))
-    plain = F.when(F.contains(raw, F.lit("\\")), F.array_join(kept, "")).otherwise(raw)
-    return F.translate(F.trim(F.regexp_replace(plain, " +", " ")), OPAQUE_SPACE, " ")
+    # Where no such escape can stand, nor one of six bytes, nothing is to be taken apart.
+    some = F.lit(False)
+    for e in "tnru":
+        some = some | F.contains(raw, F.lit("\\" + e))
+    plain = F.when(some, F.array_join(kept, "")).otherwise(raw)
+    single = F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain)
+    return F.translate(F.trim(single), OPAQUE_SPACE, " ")
 
 
 def with_breaks(text: Column) -> Column:
     """The text with each line break (an escaped line feed) replaced by a stand-in for its two or six bytes."""
     kept = F.transform(lexemes(text), lambda x: F.when(x == "\\n", BREAK2).when(x.isin("\\u000A", "\\u000a"), BREAK6).otherwise(x))
-    # Where every backslash begins an escaped line feed, and that is nearly everywhere, a plain replacement does.
-    plain = ~text.rlike(r"\\(?:[^n]|\z)")
-    return F.when(plain, F.replace(text, F.lit("\\n"), F.lit(BREAK2))).otherwise(F.array_join(kept, ""))
+    # Pairs of backslashes are hidden first, so that each one left begins an escape; only where an escape of six bytes holds
+    # another backslash, or ends early, is the text taken apart.
+    odd = text.rlike(r"\\u[^\\]{0,3}(?:\\|\z)")
+    out = F.replace(text, F.lit("\\\\"), F.lit(PAIR))
+    for escape, stand_in in (("\\n", BREAK2), ("\\u000A", BREAK6), ("\\u000a", BREAK6), (PAIR, "\\\\")):
+        out = F.replace(out, F.lit(escape), F.lit(stand_in))
+    return F.when(odd, F.array_join(kept, "")).otherwise(out)
 
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|[01]\d\d|\d{1,2})(?!\d)"
@@ -71,18 +80,21 @@ MASKS = (
     ("<dur>", r"\d++(?:\.\d++)?+(?:ns|us|ms|s|m|h)"),
     ("<num>", r"\d++(?:\.\d++)?+"),
 )
-#: Groups: an escape, or bytes that begin no mask; one group for each mask; any other byte.
-TOKEN = r"(\\u[\s\S]{0,4}|\\[\s\S]|[^0-9A-Za-f:\\]+)|" + "|".join(f"({p})" for _, p in MASKS) + r"|([\s\S])"
-_FULL = [(name, rf"\A(?:{p})\z") for name, p in MASKS]
+#: An escape, a word in which no mask can begin, or other bytes that begin none; the masks; any other byte. A word is safe if no
+#: eight hexadecimal letters stand together in it, and nothing follows that could go on a mask begun inside it.
+TOKEN = r"\\u[\s\S]{0,4}|\\[\s\S]|(?![a-z]*?[a-f]{8})[a-z]++(?![0-9A-F:])|(?![A-Z]*?[A-F]{8})[A-Z]{2,}+(?![0-9a-z:])|[^0-9A-Za-f:\\]+|" + "|".join(f"(?:{p})" for _, p in MASKS) + r"|[\s\S]"
+_FULL = {name: rf"\A(?:{p})\z" for name, p in MASKS}
 
 
 def mask(ws: Column) -> Column:
     """The text with volatile fields replaced by placeholders, in one scan from left to right; escapes stay as they are."""
 
     def one(x: Column) -> Column:
-        out = F.when(~F.substring(x, 1, 1).rlike("[0-9A-Za-f:]"), x)
-        for name, pattern in _FULL:
-            out = out.when(x.rlike(pattern), name)
+        # A mask of more than one byte has a digit or a colon, or is long. Only a long number can be taken for another mask.
+        out = F.when(F.length(x) == 1, F.when(x.between("0", "9"), "<num>").otherwise(x)).when(x.startswith("\\"), x)
+        out = out.when(~x.rlike("[0-9:]") & (F.length(x) < 16), x).when((F.length(x) < 16) & x.rlike(_FULL["<num>"]), "<num>")
+        for name in ("<dur>", "<hex>", "<uuid>", "<ts>", "<ip>", "<num>"):
+            out = out.when(x.rlike(_FULL[name]), name)
         return out.otherwise(x)
 
     scanned = F.array_join(F.transform(F.regexp_extract_all(ws, F.lit(TOKEN), F.lit(0)), one), "")

@@ -11,39 +11,59 @@ from plisse.plans.options import MAX_LINE_BYTES, MAX_RECORD_BYTES
 SPAN = ("payload_id", "span_no")
 
 
-def explode_spans(located: DataFrame, style: str = "auto") -> DataFrame:
-    """located(payload_id, body, spans) → (payload_id, span_no, base, class, text, style), one row a span.
+def explode_spans(located: DataFrame, style: str = "auto", keep_all: bool = False) -> DataFrame:
+    """located(payload_id, body, spans, ...) → the other columns, span_no, base, class, text, style, one row a span.
 
-    base is the span's first byte in the payload; text its Latin-1 view. The body is not carried on.
+    base is the span's first byte in the payload; text its Latin-1 view. The body is not carried on. With keep_all a payload
+    without spans has one row too, its span empty and its span_no null.
     """
-    s = located.select("payload_id", "body", F.posexplode("spans").alias("span_no", "s"))
-    text = T.latin1(F.substring("body", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")))
-    s = s.select("payload_id", "span_no", F.col("s.start").alias("base"), F.col("s.class").alias("class"), text.alias("text"))
+    own = [c for c in located.columns if c not in ("body", "spans")]
+    s = located.select(*own, "body", F.posexplode_outer("spans").alias("span_no", "s"))
+    s = s if keep_all else s.where("span_no is not null")
+    text = T.latin1(F.coalesce(F.substring("body", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")), F.lit(b"")))
+    s = s.select(*own, "span_no", F.coalesce("s.start", F.lit(0)).alias("base"), F.col("s.class").alias("class"), text.alias("text"))
     return s.withColumn("style", T.resolve_style(style, F.col("text")))
 
 
-def split_units(spans: DataFrame) -> DataFrame:
-    """(payload_id, span_no, base, style, unit_no, start, end, eligible, over_cap, raw) of the lines and records of spans.
+def split_pieces(spans: DataFrame) -> DataFrame:
+    """The lines and records of spans, in order: a span's own columns but text, and over_cap, head, gap, eligible, raw.
 
-    Lines end at escaped line feeds; a line above the cap is cut into records between '}' and '{'. Empty lines are no units.
-    Offsets are bytes within the span. A unit that carries a marker, or a record above its cap, is not eligible.
+    Lines end at escaped line feeds; a line above the cap is cut into records between '}' and '{', the first of which is its
+    head. gap: bytes between a piece and the next. An empty piece is no unit; a piece that carries a marker, or a record above
+    its cap, is not eligible. Spans are dealt once, before they are split, and all that follows within a span uses that. No
+    text stands beside a generator: a piece keeps the stand-in of its gap as its last character, and only pieces go on, so
+    the work is linear in a span. (The generators are outer ones, though no array is empty, as for others Spark would split
+    the text once more to test that.)
     """
-    b = spans.withColumn("_b", T.with_breaks(F.col("text")))
-    breaks = F.regexp_extract_all("_b", F.lit(f"([{T.BREAK2}{T.BREAK6}])"), F.lit(1))
-    b = b.select(*SPAN, "base", "style", breaks.alias("_s"), F.posexplode(F.split("_b", f"[{T.BREAK2}{T.BREAK6}]", -1)).alias("_l", "_line"))
-    after = F.when(F.col("_l") < F.size("_s"), F.when(F.element_at("_s", F.col("_l") + 1) == T.BREAK2, 2).otherwise(6)).otherwise(0)
-    over = F.length("_line") > MAX_LINE_BYTES
-    pieces = F.when(over, F.split("_line", r"(?<=\}),(?=\{)", -1)).otherwise(F.array("_line"))
-    b = b.select(*SPAN, "base", "style", "_l", after.alias("_after"), over.alias("over_cap"), pieces.alias("_p"))
-    b = b.select(*SPAN, "base", "style", "_l", "_after", "over_cap", F.size("_p").alias("_n"), F.posexplode("_p").alias("_r", "raw"))
-    order = Window.partitionBy(*SPAN).orderBy("_l", "_r")
-    gap = F.when(F.col("_r") < F.col("_n") - 1, 1).otherwise(F.col("_after"))
-    begin = F.coalesce(F.sum(F.length("raw") + gap).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    b = b.withColumn("start", begin).withColumn("first_record", F.col("over_cap") & (F.col("_r") == 0)).where("raw != ''")
-    b = b.withColumn("unit_no", F.row_number().over(order) - 1).withColumn("end", F.col("start") + F.length("raw"))
+    own = [c for c in spans.columns if c != "text"]
+    b = spans.repartition(*SPAN).select(*own, F.split(T.with_breaks(F.col("text")), f"(?<=[{T.BREAK2}{T.BREAK6}])", -1).alias("_lines"))
+    b = b.select(*own, F.explode_outer("_lines").alias("_line"))
+    over = F.length("_line") - F.when(_gap("_line") > 0, 1).otherwise(0) > MAX_LINE_BYTES
+    records = F.split(F.regexp_replace("_line", r"(?<=\}),(?=\{)", T.BREAK1), f"(?<={T.BREAK1})", -1)
+    b = b.select(*own, over.alias("over_cap"), F.when(over, records).otherwise(F.array("_line")).alias("_p"))
+    b = b.select(*own, "over_cap", F.posexplode_outer("_p").alias("_r", "_piece")).withColumn("gap", _gap("_piece"))
+    raw = F.when(F.col("gap") > 0, F.expr("left(_piece, length(_piece) - 1)")).otherwise(F.col("_piece"))
+    b = b.select(*own, "over_cap", (F.col("over_cap") & (F.col("_r") == 0)).alias("head"), "gap", raw.alias("raw"))
     fits = ~F.col("over_cap") | (F.length("raw") <= MAX_RECORD_BYTES)
-    eligible = fits & ~T.carries_marker(F.col("raw"), F.col("style"))
-    return b.select(*SPAN, "base", "style", "unit_no", "start", "end", eligible.alias("eligible"), "over_cap", "first_record", "raw")
+    return b.select(*own, "over_cap", "head", "gap", (fits & ~T.carries_marker(F.col("raw"), F.col("style"))).alias("eligible"), "raw")
+
+
+def split_units(spans: DataFrame) -> DataFrame:
+    """(payload_id, span_no, base, style, unit_no, start, end, eligible, over_cap, first_record, raw) of the units of spans.
+
+    Offsets are bytes within the span.
+    """
+    b = split_pieces(spans.select(*SPAN, "base", "style", "text")).withColumn("_i", F.monotonically_increasing_id())
+    order = Window.partitionBy(*SPAN).orderBy("_i")
+    end = F.sum(F.length("raw") + F.col("gap")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("gap")
+    b = b.withColumn("end", end.cast("int")).withColumn("start", F.col("end") - F.length("raw")).where("raw != ''")
+    return b.select(*SPAN, "base", "style", (F.row_number().over(order) - 1).alias("unit_no"), "start", "end", "eligible", "over_cap", F.col("head").alias("first_record"), "raw")
+
+
+def _gap(piece: str):
+    """Bytes of the gap for which a piece's last character stands; none if it stands for itself."""
+    last = F.right(F.col(piece), F.lit(1))
+    return F.when(last == T.BREAK2, 2).when(last == T.BREAK6, 6).when(last == T.BREAK1, 1).otherwise(0)
 
 
 def joiners(units: DataFrame, spans: DataFrame) -> DataFrame:

@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plisse.functions import text as T
+from plisse.functions.tables import materialize
 from plisse.operators import restore as R
-from plisse.operators.blocks import candidates
-from plisse.operators.runs import fold_runs, unclaimed, with_ids
+from plisse.operators.detect import block_starts, find_groups
 from plisse.operators.splice import originals, spliced_length
-from plisse.operators.units import explode_spans, split_units
+from plisse.operators.units import explode_spans, split_pieces, split_units
 from plisse.plans import evaluation as E
 from plisse.plans.compress import check_pin, compress, units_of
 from plisse.plans.options import Options
+from plisse.plans.oracles import NOTE, ORACLES
 from plisse.sources import corpus, reports
 from plisse.sources.locate import detect, locate_column
 
-#: End of a record, long enough for every dump to exceed the line cap.
-_NOTE = ',"note":"' + "no remark " * 4 + '"}'
 STATS = ("payload_id", "bytes_in", "bytes_out", "approx_tokens_in", "approx_tokens_out", "groups_collapsed", "exact_runs", "ws_runs", "block_repeats", "template_groups", "templated_blocks", "record_splits", "degraded", "noop_reason")
 
 
@@ -42,9 +41,15 @@ def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.groupBy(F.col("payload_id").alias("doc_id")).agg(F.count("*").alias("n_units"), F.sum(F.length("raw")).alias("unit_bytes"), F.max("end").cast("long").alias("last_end"))
 
 
+def _commits(found: DataFrame) -> DataFrame:
+    """The commits of find_groups(), one a row, with their span's columns."""
+    return found.select("payload_id", "style", F.explode("commits").alias("c")).select("payload_id", "style", "c.*")
+
+
 def exact_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = fold_runs(unclaimed(split_units(_documents(spark, sf_dir))), "exact_run", "raw", 3).where("commit is not null")
-    return u.select(F.col("payload_id").alias("doc_id"), F.col("unit_no").cast("long").alias("first_unit"), F.col("commit.count").alias("copies_omitted"), (F.col("commit.anchor_end") - F.col("commit.anchor_start")).cast("long").alias("anchor_bytes"), (F.col("commit.removed_end") - F.col("commit.removed_start")).cast("long").alias("removed_bytes"), T.marker_core(F.col("style"), F.lit("exact_run"), F.col("commit.count")).substr(1, 200).alias("marker_l1")).select("doc_id", "first_unit", "copies_omitted", "anchor_bytes", "removed_bytes", F.decode(T.to_bytes(F.col("marker_l1")), "UTF-8").alias("marker_core"))
+    c = _commits(find_groups(split_pieces(_documents(spark, sf_dir)), stages=("exact_run",)))
+    core = F.decode(T.to_bytes(T.marker_core(F.col("style"), F.col("kind"), F.col("count"))), "UTF-8")
+    return c.select(F.col("payload_id").alias("doc_id"), F.col("first").cast("long").alias("first_unit"), F.col("count").alias("copies_omitted"), (F.col("anchor_end") - F.col("anchor_start")).cast("long").alias("anchor_bytes"), (F.col("removed_end") - F.col("removed_start")).cast("long").alias("removed_bytes"), core.alias("marker_core"))
 
 
 def ws_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,19 +58,15 @@ def ws_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ws_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = fold_runs(unclaimed(split_units(_documents(spark, sf_dir))), "exact_run", "raw", 3).withColumn("ws", T.normalize_ws(F.col("raw")))
-    u = fold_runs(u, "ws_run", "ws", 3)
-    return u.where("commit is not null").groupBy(F.col("payload_id").alias("doc_id")).agg(F.count_if(F.col("commit.kind") == "exact_run").alias("exact_runs"), F.count_if(F.col("commit.kind") == "ws_run").alias("ws_runs"))
+    c = _commits(find_groups(split_pieces(_documents(spark, sf_dir)), stages=("exact_run", "ws_run")))
+    return c.groupBy(F.col("payload_id").alias("doc_id")).agg(F.count_if(F.col("kind") == "exact_run").alias("exact_runs"), F.count_if(F.col("kind") == "ws_run").alias("ws_runs"))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units straight from events: one a row, in the order of each user's log."""
-    e = _read(spark, sf_dir, "events").withColumn("raw", corpus.event_line())
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    u = e.select(F.col("user_id").alias("payload_id"), F.lit(0).alias("span_no"), F.lit(0).alias("base"), F.lit("ascii").alias("style"), (F.row_number().over(order) - 1).alias("unit_no"), F.lit(True).alias("eligible"), "raw", "event_id")
-    at = Window.partitionBy("payload_id").orderBy("unit_no").rowsBetween(Window.unboundedPreceding, -1)
-    u = u.withColumn("start", F.coalesce(F.sum(F.length("raw") + 2).over(at), F.lit(0)).cast("int"))
-    return u.withColumn("end", F.col("start") + F.length("raw"))
+    """Pieces straight from events: one a row, in the order of each user's log."""
+    e = _read(spark, sf_dir, "events").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    no = F.lit(False)
+    return e.select(F.col("user_id").alias("payload_id"), F.lit(0).alias("span_no"), F.lit("ascii").alias("style"), F.lit(0).alias("base"), no.alias("over_cap"), no.alias("head"), F.lit(2).alias("gap"), F.lit(True).alias("eligible"), corpus.event_line().alias("raw"))
 
 
 def mask_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,31 +74,46 @@ def mask_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def template_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = _events(spark, sf_dir).withColumn("masked", T.mask(F.col("raw")))
-    u = fold_runs(unclaimed(u), "template_group", "masked", 3).where("commit is not null")
-    return u.select(F.col("payload_id").alias("user_id"), F.col("unit_no").cast("long").alias("first_unit"), F.col("commit.count").alias("copies_omitted"), (F.col("commit.removed_end") - F.col("commit.removed_start")).cast("long").alias("removed_bytes"))
+    c = _commits(find_groups(_events(spark, sf_dir), stages=("template_group",)))
+    return c.select(F.col("payload_id").alias("user_id"), F.col("first").cast("long").alias("first_unit"), F.col("count").alias("copies_omitted"), (F.col("removed_end") - F.col("removed_start")).cast("long").alias("removed_bytes"))
 
 
 def block_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest repeated block of event templates at each start, before the fold."""
-    u = with_ids(unclaimed(_events(spark, sf_dir)).withColumn("masked", T.mask(F.col("raw"))), "masked", "masked_id", False)
-    return candidates(u, "masked_id", "masked_id", 2, 64).select(F.col("payload_id").alias("user_id"), F.col("at").cast("long").alias("first_unit"), F.col("length").cast("long").alias("block_units"), F.col("copies").cast("long").alias("copies"))
+    """Longest repeated block of event templates at each start, before any is chosen."""
+    return block_starts(_events(spark, sf_dir)).select(F.col("payload_id").alias("user_id"), F.col("at").alias("first_unit"), F.col("length").alias("block_units"), "copies")
 
 
 def record_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One dump of records a return flag: lines far above the cap, cut into their records."""
-    r = _read(spark, sf_dir, "lineitem").select("l_returnflag", F.concat(F.lit('{"o":'), F.col("l_orderkey").cast("string"), F.lit(',"l":'), F.col("l_linenumber").cast("string"), F.lit(_NOTE)).alias("r"), "l_orderkey", "l_linenumber")
-    d = r.groupBy("l_returnflag").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "r"))), lambda x: x["r"]), ","), F.lit("]")).alias("text"))
-    u = split_units(_spans(d, "l_returnflag", F.col("text")))
-    return u.groupBy(F.col("payload_id").alias("l_returnflag")).agg(F.count("*").alias("n_records"), F.count_if("eligible").alias("n_eligible"), F.sum(F.length("raw")).alias("record_bytes"))
+    """Dumps of the records of a return flag and 1000 order keys: lines mostly above the cap, cut into their records."""
+    part = F.floor(F.col("l_orderkey") / 1000)
+    r = _read(spark, sf_dir, "lineitem").select("l_returnflag", part.alias("part"), F.concat(F.lit('{"o":'), F.col("l_orderkey").cast("string"), F.lit(',"l":'), F.col("l_linenumber").cast("string"), F.lit(NOTE)).alias("r"), "l_orderkey", "l_linenumber")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "r"))), lambda x: x["r"])  # of 1000 orders
+    d = r.groupBy("l_returnflag", "part").agg(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")).alias("text"))
+    d = d.withColumn("key", F.concat("l_returnflag", F.col("part").cast("string")))
+    u = split_units(_spans(d, "key", F.col("text")))
+    n = u.groupBy("payload_id").agg(F.count("*").alias("n_records"), F.count_if("eligible").alias("n_eligible"), F.sum(F.length("raw")).alias("record_bytes"))
+    return n.select(F.substring("payload_id", 1, 1).alias("l_returnflag"), F.expr("substring(payload_id, 2)").cast("long").alias("part"), "n_records", "n_eligible", "record_bytes")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.mixed_payloads(_read(spark, sf_dir, "conversations"))
 
 
 def sniff_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = corpus.conversation_payloads(_read(spark, sf_dir, "conversations"))
-    d = p.select("payload_id", locate_column(F.col("body")).alias("l"))
+    d = _mixed(spark, sf_dir).select("payload_id", locate_column(F.col("body")).alias("l"))
     return d.select(F.col("payload_id").alias("conv_id"), "l.schema", "l.noop_reason", F.size("l.spans").cast("long").alias("n_spans"))
 
 
+def strict_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chats as they are (conv_id % 5 = 0), with a number that only a lenient reader takes (1, 2), and broken off (3, 4)."""
+    p = corpus.conversation_payloads(_read(spark, sf_dir, "conversations"))
+    form, text = F.pmod(F.col("payload_id"), F.lit(5)), F.decode("body", "UTF-8")
+    body = F.when(form == 0, text).when(form < 3, F.concat(F.lit('{"n":01,'), F.expr("substring(decode(body, 'UTF-8'), 2)"))).otherwise(F.substring(text, 1, F.length(text) - 1))
+    p = p.select("payload_id", F.encode(body, "UTF-8").alias("body"))
+    ok = lambda strict: locate_column(F.col("body"), strict=strict)["noop_reason"].isNull()
+    return p.select(F.col("payload_id").alias("conv_id"), ok(False).alias("lenient_ok"), ok(True).alias("strict_ok"))
+
+
 def span_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = corpus.conversation_payloads(_read(spark, sf_dir, "conversations"))
     s = explode_spans(p.select("payload_id", "body", locate_column(F.col("body"))["spans"].alias("spans")))
@@ -105,7 +121,7 @@ def span_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detect_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = detect(corpus.conversation_payloads(_read(spark, sf_dir, "conversations")), "user_and_tools")
+    d = detect(_mixed(spark, sf_dir), "user_and_tools")
     return d.select(F.col("payload_id").alias("conv_id"), "schema", F.col("n_user").cast("long").alias("n_user"), F.col("n_tool").cast("long").alias("n_tool"), F.size("spans").cast("long").alias("n_shown"), "spans_truncated")
 
 
@@ -118,25 +134,28 @@ def compress_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compress_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compress(corpus.conversation_payloads(_read(spark, sf_dir, "conversations"))).select(*STATS)
+    """What the user says stands three times, as lines or blocks of lines, in spans of their own."""
+    return compress(corpus.conversation_payloads(_read(spark, sf_dir, "conversations"), 3)).select(*STATS)
 
 
 def compress_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("payload_id"), F.encode("html", "UTF-8").alias("body"))
-    return compress(p, Options(content_type="text")).select("payload_id", "bytes_in", "bytes_out", "degraded")
+    """Pages as text payloads, a line each tag and the text after it."""
+    lines = F.replace(F.replace("html", F.lit("\n"), F.lit("\\n")), F.lit("<"), F.lit("\\n<"))
+    p = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("payload_id"), F.encode(lines, "UTF-8").alias("body"))
+    return compress(p, Options(content_type="text")).select("payload_id", "bytes_in", "bytes_out", "groups_collapsed", "degraded")
 
 
 def bytes_in_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size of each result by the commits and as it is: the two agree."""
+    """Size of each result by its commits, and as it is."""
     c = compress(corpus.event_payloads(_read(spark, sf_dir, "events")))
-    return c.select(F.col("payload_id").alias("user_id"), "bytes_in", (spliced_length(F.col("body"), F.col("commits")) == F.col("bytes_out")).alias("balanced"))
+    return c.select(F.col("payload_id").alias("user_id"), "bytes_in", spliced_length(F.col("body"), F.col("commits")).cast("long").alias("by_commits"), "bytes_out")
 
 
 def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every commit's original goes to the store and comes back by its id."""
     c = compress(corpus.document_payloads(_read(spark, sf_dir, "documents")), Options(reversible=True))
     now = F.timestamp_seconds(F.lit(1_767_225_600))
-    o = originals(c).persist()
+    o = materialize(originals(c), "originals")
     store = R.insert(spark.createDataFrame([], R.STORE), R.entries(o, now, F.lit(0)), now, max_bytes=1 << 40)
     back = R.restore(o.select("restore_id").distinct(), store, now)
     return o.join(back.withColumnRenamed("original", "restored"), "restore_id").groupBy(F.col("payload_id").alias("doc_id")).agg(F.count("*").alias("n_commits"), F.count_if(F.col("original") == F.col("restored")).alias("n_restored"))
@@ -149,12 +168,10 @@ def approx_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reduction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median, least and greatest reduction by language, had each document its exact runs folded without markers."""
-    spans = _documents(spark, sf_dir)
-    u = fold_runs(unclaimed(split_units(spans)), "exact_run", "raw", 3)
-    saved = u.groupBy("payload_id").agg(F.coalesce(F.sum(F.col("commit.removed_end") - F.col("commit.anchor_end")), F.lit(0)).alias("saved"))
-    m = spans.select("payload_id", "lang", F.length("text").cast("long").alias("bytes_in")).join(saved, "payload_id", "left").withColumn("bytes_out", F.col("bytes_in") - F.coalesce("saved", F.lit(0)))
-    s = E.summaries(E.measurements(m), "lang")
-    return s.select("lang", "cases", "median_permille", "min_permille", "max_permille", "meets_target", "median_percent")
+    spans = _documents(spark, sf_dir).withColumn("bytes_in", F.length("text").cast("long"))
+    gone = F.aggregate("commits", F.lit(0).cast("long"), lambda n, c: n + c["removed_end"] - c["anchor_end"])
+    m = find_groups(split_pieces(spans), stages=("exact_run",)).withColumn("bytes_out", F.col("bytes_in") - gone)
+    return E.summaries(E.measurements(m), "lang").select("lang", "cases", "median_permille", "min_permille", "max_permille", "meets_target", "median_percent")
 
 
 def span_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,87 +184,40 @@ def request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = compress(corpus.conversation_payloads(_read(spark, sf_dir, "conversations")))
+    c = compress(corpus.conversation_payloads(_read(spark, sf_dir, "conversations"), 3))
     return reports.stats_headers(c).select("payload_id", F.to_json("headers").alias("headers"))
 
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes that are well formed (doc_id % 4 = 0, 1), have an unknown option (2), or are none (3)."""
     d = _read(spark, sf_dir, "documents")
-    e = reports.open_envelopes(d.select(F.col("doc_id").alias("payload_id"), F.encode(F.to_json(F.struct(F.col("text").alias("payload"), F.lit("text").alias("content_type"))), "UTF-8").alias("body")))
+    form, fields = F.pmod(F.col("doc_id"), F.lit(4)), (F.col("text").alias("payload"), F.lit("text").alias("content_type"))
+    body = F.when(form < 2, F.to_json(F.struct(*fields))).when(form == 2, F.to_json(F.struct(*fields, F.struct(F.lit(1).alias("o")).alias("options")))).otherwise("no envelope")
+    e = reports.open_envelopes(d.select(F.col("doc_id").alias("payload_id"), F.encode(body, "UTF-8").alias("body")))
     return e.select(F.col("payload_id").alias("doc_id"), "content_type", "valid", F.octet_length("body").cast("long").alias("body_bytes"))
 
 
 def pinned_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = corpus.conversation_payloads(_read(spark, sf_dir, "conversations"))
-    return check_pin(p, "responses").withColumnRenamed("payload_id", "conv_id")
+    return check_pin(_mixed(spark, sf_dir), "chat").withColumnRenamed("payload_id", "conv_id")
 
 
 def generated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reduction of seeded log payloads of all schemas, by stratum."""
-    parts = [corpus.chat_payloads(spark, 4, 600, schema) for schema in ("chat", "responses", "messages")] + [corpus.adversarial(spark, 600)]
-    n = Window.orderBy("name")
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).withColumn("payload_id", F.row_number().over(n).cast("long"))
-    c = compress(every).join(every.select("payload_id", "stratum"), "payload_id")
-    return E.summaries(E.measurements(c))
+    """Reduction of generated payloads of all schemas, by stratum, by a quarter of the bytes and by a public vocabulary."""
+    parts = [corpus.chat_payloads(spark, 4, 600, schema) for schema in ("chat", "responses", "messages", "text")] + [corpus.golden(spark), corpus.adversarial(spark, 600)]
+    every = parts[0].withColumn("part", F.lit(0))
+    for k, p in enumerate(parts[1:], 1):
+        every = every.unionByName(p.withColumn("part", F.lit(k)))
+    every = every.withColumn("payload_id", F.col("part") * 1000 + F.col("payload_id"))
+    c = compress(every.select("payload_id", "body")).join(every.select("payload_id", "stratum"), "payload_id")
+    counted = E.measurements(c)
+    if (encode := E.public_encoder()) is not None:
+        counted = counted.unionByName(E.measurements(c, "word_bpe_49k", encode))
+    return E.summaries(counted)
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = units_of(corpus.conversation_payloads(_read(spark, sf_dir, "conversations")))
+    u = units_of(corpus.conversation_payloads(_read(spark, sf_dir, "conversations"), 3))
     return u.groupBy(F.col("payload_id").alias("conv_id")).agg(F.count("*").alias("n_units"), F.count_if("eligible").alias("n_eligible"))
 
 
-QUERIES = {f.__name__: f for f in (split_lines, exact_runs, ws_normalize, ws_runs, mask_forms, template_groups, block_candidates, record_split, sniff_schema, span_inventory, detect_preview, compress_logs, compress_documents, compress_conversations, compress_pages, bytes_in_balance, restore_roundtrip, approx_tokens, reduction_summary, span_shapes, request_metrics, stats_headers, envelopes, pinned_mismatch, generated_corpus, units)}
-
-_LINES = """
-raw as (select doc_id, lang, text, generate_subscripts(string_split(text, chr(10)), 1) as l, unnest(string_split(text, chr(10))) as line from documents where text is not null),
-lines as (select doc_id, lang, l, line, sum(strlen(line) + 2) over (partition by doc_id order by l) - strlen(line) - 2 as s,
-                 regexp_full_match(replace(text, chr(10), ' '), '[\\x00-\\x7F]*') as ascii from raw),
-u as (select *, s + strlen(line) as e, row_number() over (partition by doc_id order by l) - 1 as i from lines where line <> '')"""
-_EXACT = f"""{_LINES},
-m as (select *, case when line = lag(line) over (partition by doc_id order by i) then 0 else 1 end as c from u),
-g as (select *, sum(c) over (partition by doc_id order by i) as k from m),
-r as (select doc_id, k, min(i) as first_unit, count(*) - 1 as copies_omitted, min_by(strlen(line), i) as anchor_bytes, max(e) - min(s) as removed_bytes, min(s) as s0, max(e) as e1, bool_and(ascii) as ascii from g group by doc_id, k),
-x as (select * from r where copies_omitted >= 2 and anchor_bytes + case when ascii then 26 else 25 end + strlen(copies_omitted::varchar) < removed_bytes)"""
-_LOG = "strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type || ' user=' || user_id || ' value=' || floor(value)::bigint || 'ms'"
-_ESCAPED = "replace(replace(replace(text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n')"
-
-ORACLES = {
-    "split_lines": f"with {_LINES[1:]} select doc_id, count(*) as n_units, sum(strlen(line))::bigint as unit_bytes, max(e)::bigint as last_end from u group by doc_id",
-    "exact_runs": f"""with {_EXACT[1:]} select doc_id, first_unit, copies_omitted, anchor_bytes, removed_bytes::bigint as removed_bytes,
-        case when ascii then '[... x' || copies_omitted || ' identical ' else chr(10218) || chr(215) || copies_omitted || ' identical ' || chr(183) end as marker_core from x""",
-    "ws_normalize": f"with {_LINES[1:]} select doc_id, i as unit_no, strlen(trim(regexp_replace(line, ' +', ' ', 'g'), ' '))::bigint as ws_bytes from u",
-    "ws_runs": f"""with {_EXACT[1:]},
-        n as (select g.doc_id, g.i, g.s, g.e, g.ascii, strlen(line) as b, trim(regexp_replace(line, ' +', ' ', 'g'), ' ') as ws, x.k is not null as claimed from g left join x on x.doc_id = g.doc_id and x.k = g.k),
-        n2 as (select *, case when not claimed and not lag(claimed) over w and ws = lag(ws) over w then 0 else 1 end as c from n window w as (partition by doc_id order by i)),
-        n3 as (select *, sum(c) over (partition by doc_id order by i) as k from n2),
-        y as (select doc_id, count(*) - 1 as o, min_by(b, i) as a, max(e) - min(s) as r, bool_and(ascii) as ascii from n3 where not claimed group by doc_id, k),
-        z as (select * from y where o >= 2 and a + case when ascii then 31 else 30 end + strlen(o::varchar) < r)
-        select doc_id, count(*) filter (t = 3) as exact_runs, count(*) filter (t = 4) as ws_runs from (select doc_id, 3 as t from x union all select doc_id, 4 from z) group by doc_id""",
-    "mask_forms": f"select event_id, regexp_replace(regexp_replace(regexp_replace({_LOG}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}', '<ts>'), 'user=[0-9]+', 'user=<num>'), 'value=[0-9]+ms', 'value=<dur>') as masked from events",
-    "template_groups": f"""with e as (select user_id, event_type, {_LOG} as line, row_number() over (partition by user_id order by ts, event_id) - 1 as i from events),
-        m as (select *, case when event_type = lag(event_type) over (partition by user_id order by i) then 0 else 1 end as c from e),
-        g as (select *, sum(c) over (partition by user_id order by i) as k from m),
-        r as (select user_id, min(i) as first_unit, count(*) - 1 as copies_omitted, min_by(strlen(line), i) as a, sum(strlen(line) + 2)::bigint - 2 as removed_bytes from g group by user_id, k)
-        select user_id, first_unit, copies_omitted, removed_bytes from r where copies_omitted >= 2 and a + 31 + strlen(copies_omitted::varchar) < removed_bytes""",
-    "record_split": f"""with r as (select l_returnflag, '{{"o":' || l_orderkey || ',"l":' || l_linenumber || '{_NOTE}' as r from lineitem)
-        select l_returnflag, count(*) as n_records, count(*) as n_eligible, sum(strlen(r))::bigint + 2 as record_bytes from r group by l_returnflag""",
-    "sniff_schema": "select conv_id, 'chat' as schema, null::varchar as noop_reason, count(*) filter (role = 'user' and text <> '') as n_spans from conversations group by conv_id",
-    "span_inventory": f"select conv_id, 'user' as class, count(*) as n_spans, sum(strlen({_ESCAPED}))::bigint as span_bytes, count(*) filter (strlen(text) = length(text)) as ascii_spans from conversations where role = 'user' and text <> '' group by conv_id",
-    "detect_preview": "select conv_id, 'chat' as schema, count(*) filter (role = 'user' and text <> '') as n_user, 0::bigint as n_tool, least(64, count(*) filter (role = 'user' and text <> '')) as n_shown, count(*) filter (role = 'user' and text <> '') > 64 as spans_truncated from conversations group by conv_id",
-    "bytes_in_balance": f"select user_id, sum(strlen({_LOG}) + 2)::bigint - 2 + strlen('{{\"messages\":[{{\"role\":\"user\",\"content\":\"\"}}]}}') as bytes_in, true as balanced from events group by user_id",
-    "compress_pages": "select page_id as payload_id, strlen(html)::bigint as bytes_in, strlen(html)::bigint as bytes_out, false as degraded from pages",
-    "approx_tokens": "select doc_id, (strlen(text) // 4)::bigint as stats_tokens, ((strlen(text) + 3) // 4)::bigint as eval_tokens from documents",
-    "reduction_summary": f"""with {_EXACT[1:]},
-        d as (select doc_id, lang, strlen(replace(text, chr(10), '  ')) as b from documents where text is not null),
-        v as (select d.doc_id, coalesce(sum(removed_bytes - anchor_bytes), 0) as saved from d left join x using (doc_id) group by d.doc_id),
-        t as (select lang, (b + 3) // 4 as ti, (b - saved + 3)::bigint // 4 as tn from d join v using (doc_id)),
-        p as (select lang, case when ti > 0 then greatest(ti - tn, 0) * 1000 // ti else 0 end as q from t)
-        select lang, count(*) as cases, floor(median(q))::int as median_permille, min(q)::int as min_permille, max(q)::int as max_permille, floor(median(q)) >= 400 as meets_target,
-               (floor(median(q))::int // 10) || '.' || (floor(median(q))::int % 10) || '%' as median_percent from p group by lang""",
-    "span_shapes": """with d as (select lang, text, list_max(list_transform(string_split(text, chr(10)), lambda x: strlen(x))) > 65536 as over from documents where text <> '')
-        select 'user' as class, lang, count(*) filter (not over and contains(text, chr(10))) as multi_line, count(*) filter (not over and not contains(text, chr(10))) as single_line, count(*) filter (over) as over_cap from d group by lang""",
-    "request_metrics": """select '/v1/' || event_type as route, (case when user_id % 5 = 0 then 404 else 200 end)::int as status, count(*) as requests,
-        'requests_total{route="/v1/' || event_type || '",status="' || (case when user_id % 5 = 0 then 404 else 200 end) || '"} ' || count(*) as line from events group by event_type, case when user_id % 5 = 0 then 404 else 200 end""",
-    "envelopes": "select doc_id, 'text' as content_type, true as valid, strlen(text)::bigint as body_bytes from documents",
-    "pinned_mismatch": "select distinct conv_id, true as content_type_mismatch from conversations",
-}
+QUERIES = {f.__name__: f for f in (split_lines, exact_runs, ws_normalize, ws_runs, mask_forms, template_groups, block_candidates, record_split, sniff_schema, strict_check, span_inventory, detect_preview, compress_logs, compress_documents, compress_conversations, compress_pages, bytes_in_balance, restore_roundtrip, approx_tokens, reduction_summary, span_shapes, request_metrics, stats_headers, envelopes, pinned_mismatch, generated_corpus, units)}

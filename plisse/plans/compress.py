@@ -2,41 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plisse.functions import text as T
-from plisse.functions.tables import materialize
-from plisse.operators.blocks import fold_blocks
-from plisse.operators.runs import fold_runs, unclaimed, with_ids
-from plisse.operators.splice import originals, splice
-from plisse.operators.units import SPAN, explode_spans, split_units
-from plisse.plans.options import ALGO_VERSION, MAX_BLOCK_LINES, MIN_BLOCK_LINES, TABLE_KEYS, Options
+from plisse.operators.detect import find_groups
+from plisse.operators.splice import by_payload, originals, splice
+from plisse.operators.units import explode_spans, split_pieces, split_units
+from plisse.plans.options import ALGO_VERSION, TABLE_KEYS, Options
 from plisse.sources.locate import locate_column, mismatch
 
 COUNTERS = {"exact_runs": "exact_run", "ws_runs": "ws_run", "block_repeats": "block", "template_groups": "template_group", "templated_blocks": "templated_block"}
 
 
-def detect_groups(units: DataFrame, options: Options) -> DataFrame:
-    """units with claimed, commit and degraded after all stages; each stage sees what the earlier ones left."""
-    u = unclaimed(units).withColumn("ws", T.normalize_ws(F.col("raw"))).withColumn("masked", T.mask(F.col("ws")))
-    u = fold_runs(u, "exact_run", "raw", options.min_group_size)
-    if options.normalize_ws:
-        u = fold_runs(u, "ws_run", "ws", options.min_group_size)
-    u = with_ids(with_ids(u, "masked", "masked_id", False), "ws", "ws_id", True)
-    span = Window.partitionBy(*SPAN)
-    first = lambda c: F.sum((F.col(c) == F.col("unit_no")).cast("long")).over(span) > TABLE_KEYS
-    u = materialize(u.withColumn("degraded", first("masked_id") | first("ws_id")).drop("raw", "ws", "masked"), "units")
-    u = fold_blocks(u, "block", "ws_id", "masked_id", MIN_BLOCK_LINES, MAX_BLOCK_LINES)
-    if options.template_dedup:
-        u = materialize(fold_runs(u, "template_group", "masked_id", options.min_group_size), "units")
-        u = fold_blocks(u, "templated_block", "masked_id", "masked_id", 1, MAX_BLOCK_LINES)
-    return u
-
-
 def locate_payloads(payloads: DataFrame, options: Options) -> DataFrame:
     """payloads(payload_id, body) with schema, noop_reason, spans; no shuffle."""
-    at = locate_column(F.col("body"), options.scope_policy, options.content_type)
+    at = locate_column(F.col("body"), options.scope_policy, options.content_type, options.strict_validate)
     return payloads.select("payload_id", "body").withColumn("_l", at).select("payload_id", "body", F.col("_l.schema").alias("schema"), F.col("_l.noop_reason").alias("noop_reason"), F.col("_l.spans").alias("spans"))
 
 
@@ -44,32 +25,26 @@ def units_of(payloads: DataFrame, options: Options = Options()) -> DataFrame:
     return split_units(explode_spans(locate_payloads(payloads, options), options.marker_style))
 
 
-def commits_of(found: DataFrame) -> DataFrame:
-    """Commits of detect_groups() with byte ranges in the payload; those of degraded spans are dropped."""
-    c = found.where(F.col("commit").isNotNull() & ~F.col("degraded"))
-    moved = {f: F.col("base") + F.col(f"commit.{f}") for f in ("anchor_start", "anchor_end", "removed_start", "removed_end")}
-    return c.select(*SPAN, "style", *[F.col(f"commit.{f}").alias(f) for f in ("kind", "first", "last", "count")], *[v.alias(k) for k, v in moved.items()])
-
-
-def compress(payloads: DataFrame, options: Options = Options()) -> DataFrame:
+def compress(payloads: DataFrame, options: Options = Options(), table_keys: int = TABLE_KEYS) -> DataFrame:
     """Compact payloads(payload_id, body): (payload_id, body, out, commits, and the statistics).
 
-    Bytes outside the commits stay as they are. A payload of unknown schema or that doesn't parse passes through. Texts are
-    shuffled once, by span, and all windows of the detectors are within a span; bodies once, to meet their commits. Payloads
-    are located in both passes, which costs less than to keep their bodies. Null bodies count as empty; payload_ids are
-    expected to be unique.
+    Bytes outside the commits stay as they are. A payload of unknown schema or that doesn't parse passes through, and so does
+    a span of more than table_keys different forms. Texts are shuffled once, by span, and split, compared and folded in that
+    one stage; bodies once, to meet their commits. Null bodies count as empty; payload_ids are expected to be unique.
     """
-    located = locate_payloads(payloads, options)
-    found = materialize(detect_groups(split_units(explode_spans(located, options.marker_style)), options).select(*SPAN, "base", "style", "degraded", "first_record", "commit"), "commits")
-    spans = found.groupBy("payload_id").agg(F.max("degraded").alias("_degraded"), F.sum((F.col("first_record") & ~F.col("degraded")).cast("long")).alias("record_splits"))
-    out = splice(located.withColumn("body", F.coalesce("body", F.lit(b""))), commits_of(found)).join(spans, "payload_id", "left")
+    spans = explode_spans(locate_payloads(payloads, options), options.marker_style, keep_all=True).drop("class")
+    found = find_groups(split_pieces(spans), options, table_keys=table_keys)
+    kept = F.when(~F.col("degraded"), F.col("record_splits")).otherwise(0)
+    per = found.groupBy(F.col("payload_id").alias("_id")).agg(F.first("schema").alias("schema"), F.first("noop_reason").alias("noop_reason"), F.max("degraded").alias("_degraded"), F.sum(kept).alias("record_splits"), by_payload(found).alias("commits"))
+    bodies = payloads.select("payload_id", F.coalesce("body", F.lit(b"")).alias("body"))
+    out = splice(bodies.join(per, F.col("payload_id").eqNullSafe(F.col("_id"))).drop("_id"))
     count = {name: _count(kind) for name, kind in COUNTERS.items()}
     n_in, n_out = F.octet_length("body").cast("long"), F.octet_length("out").cast("long")
     stats = {
         "bytes_in": n_in, "bytes_out": n_out, "approx_tokens_in": T.approx_tokens(n_in), "approx_tokens_out": T.approx_tokens(n_out), "groups_collapsed": F.size("commits").cast("long"), **count,
-        "record_splits": F.coalesce("record_splits", F.lit(0)), "degraded": F.col("noop_reason").isNotNull() | F.coalesce("_degraded", F.lit(False)), "algo_version": F.lit(ALGO_VERSION), "options_echo": F.lit(options.echo()),
+        "record_splits": F.col("record_splits"), "degraded": F.col("noop_reason").isNotNull() | F.col("_degraded"), "algo_version": F.lit(ALGO_VERSION), "options_echo": F.lit(options.echo()),
     }
-    out = out.withColumns(stats).drop("_degraded", "spans")
+    out = out.withColumns(stats).drop("_degraded")
     if options.reversible:
         ids = originals(out).groupBy("payload_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "restore_id"))), lambda x: x["restore_id"]).alias("restore_ids"))
         return out.join(ids, "payload_id", "left").withColumn("restore_ids", F.coalesce("restore_ids", F.array().cast("array<string>")))

@@ -41,9 +41,38 @@ def bpe_tokens(body: Column, encode: Callable[[str], Iterable[int]] | None) -> C
     return count(body)
 
 
-def measurements(compressed: DataFrame, baseline: str = "approx") -> DataFrame:
-    """compressed(payload_id, stratum, bytes_in, bytes_out, ...) with tokens before and after and the reduction."""
-    m = compressed.withColumns({"tokens_in": eval_tokens(F.col("bytes_in")), "tokens_out": eval_tokens(F.col("bytes_out"))})
+class PublicEncoder:
+    """encode() of a vocabulary of the tokenizers library, read where it is used; each worker keeps one of a file."""
+
+    _open: dict = {}
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, text: str) -> list[int]:
+        if self.path not in self._open:
+            from tokenizers import Tokenizer
+
+            self._open[self.path] = Tokenizer.from_file(self.path)
+        return self._open[self.path].encode(text, add_special_tokens=False).ids
+
+
+def public_encoder(name: str = "word_bpe_49k.json") -> PublicEncoder | None:
+    """An encoder of the public vocabularies, None where they aren't installed."""
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return None
+    return PublicEncoder(public_tokenizers.path(name))
+
+
+def measurements(compressed: DataFrame, baseline: str = "approx", encode: Callable[[str], Iterable[int]] | None = None) -> DataFrame:
+    """compressed(payload_id, stratum, bytes_in, bytes_out, body, out, ...) with tokens before and after and the reduction: a
+    quarter of the bytes, or, with an encoder, its tokens; payloads that it can't read are left out."""
+    count = {"tokens_in": eval_tokens(F.col("bytes_in")), "tokens_out": eval_tokens(F.col("bytes_out"))}
+    if encode is not None:
+        count = {"tokens_in": bpe_tokens(F.col("body"), encode), "tokens_out": bpe_tokens(F.col("out"), encode)}
+    m = compressed.withColumns(count).where("tokens_in is not null and tokens_out is not null")
     return m.withColumns({"baseline": F.lit(baseline), "reduction_permille": permille(F.col("tokens_in"), F.col("tokens_out"))})
 
 
@@ -117,11 +146,26 @@ def unescape(text: Column) -> Column:
     return F.get(F.from_json(F.concat(F.lit('["'), text, F.lit('"]')), "array<string>"), 0)
 
 
+def field(line: Column, name: str) -> Column:
+    """The value of name=value in a line, up to white space, a quote or a closing bracket; null where there is none."""
+    found = F.regexp_extract(line, rf"(?:^|[\s\[({{,]){name}=\"?([^\s\",\])}}]+)", 1)
+    return F.when(found != "", found)
+
+
+def paren(line: Column) -> Column:
+    """What the first pair of round brackets in a line holds; null where there is none."""
+    found = F.regexp_extract(line, r"\(([^()]+)\)", 1)
+    return F.when(found != "", found)
+
+
 def log_facts(lines: Column) -> Column:
-    """From log lines: the number of lines, of those with an error, and the first status field."""
+    """From log lines: their number and that of lines with an error, the first status field and the first place in brackets,
+    the distinct fields of path and user, and the longest duration in milliseconds."""
     errors = F.size(F.filter(lines, lambda x: x.rlike(r"\b(ERROR|error)\b")))
-    status = F.regexp_extract(F.array_join(lines, "\n"), r"status=(\w+)", 1)
-    return F.struct(F.size(lines).alias("lines"), errors.alias("errors"), status.alias("status"))
+    first = lambda pick: F.get(F.filter(F.transform(lines, pick), lambda x: x.isNotNull()), 0)
+    each = lambda name: F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: field(x, name)), lambda x: x.isNotNull())))
+    slowest = F.array_max(F.transform(lines, lambda x: F.regexp_extract(x, r"(\d+)ms\b", 1).try_cast("long")))
+    return F.struct(F.size(lines).alias("lines"), errors.alias("errors"), first(lambda x: field(x, "status")).alias("status"), first(paren).alias("place"), each("path").alias("paths"), each("user").alias("users"), slowest.alias("slowest_ms"))
 
 
 def throughput(n_bytes: int, seconds: float) -> float:
@@ -133,3 +177,23 @@ def markdown(summary: DataFrame, title: str) -> str:
     rows = summary.collect()
     names = summary.columns
     return "\n".join([f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "-|" * len(names), *("| " + " | ".join(str(r[n]) for n in names) + " |" for r in rows), ""])
+
+
+def json_report(summary: DataFrame, measured: DataFrame, options: str) -> DataFrame:
+    """One row, report: JSON of the target, the options, the summary's rows and one entry a payload, by name and baseline.
+
+    measured has one row a payload of an evaluation's corpus, some hundreds; its statistics go in, its bodies don't.
+    """
+    rows = lambda df, names: F.array_sort(F.collect_list(F.struct(*names)))
+    detectors = F.struct("exact_runs", "ws_runs", "block_repeats", "template_groups", "templated_blocks", "record_splits").alias("detectors")
+    tokens = F.struct("tokens_in", "tokens_out", "reduction_permille").alias("tokens")
+    named = "name" if "name" in measured.columns else F.col("payload_id").cast("string").alias("name")
+    s = summary.agg(rows(summary, summary.columns).alias("summaries"))
+    m = measured.agg(rows(measured, [named, "baseline", "stratum", "schema", "bytes_in", "bytes_out", detectors, "degraded", tokens]).alias("payloads"))
+    whole = F.struct(F.lit(MEDIAN_TARGET).alias("target_permille"), F.from_json(F.lit(options), "map<string,string>").alias("options"), "summaries", "payloads")
+    return s.join(m).select(F.to_json(whole, {"ignoreNullFields": "false"}).alias("report"))  # one row each
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report's rows as text files under path, in place of what was there."""
+    report.write.mode("overwrite").text(path)

@@ -23,7 +23,8 @@ class OptionError(ValueError):
 
 @dataclass(frozen=True)
 class Options:
-    """min_group_size 0 stands for its default, 3. content_type pins the schema of every payload."""
+    """min_group_size 0 stands for its default, 3. content_type pins the schema of every payload. strict_validate leaves
+    payloads alone that aren't valid JSON throughout; it is a setting of the engine and not echoed."""
 
     scope_policy: str = "user_content"
     min_group_size: int = 3
@@ -32,6 +33,7 @@ class Options:
     marker_style: str = "auto"
     reversible: bool = False
     content_type: str | None = None
+    strict_validate: bool = False
 
     def __post_init__(self):
         if self.scope_policy in RESERVED_SCOPES:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -199,12 +200,42 @@ def _eligible(data: bytes, schema: str, root, tools: bool):
             yield output, "tool"
 
 
-def locate(payload: bytes, scope: str = "user_content", pinned: str | None = None) -> dict:
-    """Schema, reason for leaving the payload alone, and eligible spans in order, as absolute byte ranges."""
+#: Brackets outside strings.
+_DEPTHS = re.compile(rb'"(?:[^"\\]|\\[\s\S])*+"|[{}\[\]]')
+
+
+def is_valid(data: bytes) -> bool:
+    """Whether data is one JSON document by the letter, nested JSON_DEPTH deep at most.
+
+    The standard reader judges the grammar, on the Latin-1 view, as bytes needn't be UTF-8; it would also take NaN and
+    infinities, which are refused. Nesting is counted first, so that it can't exhaust the reader.
+    """
+    depth = 0
+    for m in _DEPTHS.finditer(data):
+        c = m[0]
+        depth += 1 if c in (b"{", b"[") else -1 if c in (b"}", b"]") else 0
+        if depth > JSON_DEPTH:
+            return False
+    try:
+        json.loads(data.decode("latin-1"), parse_constant=_refuse, parse_float=str, parse_int=str)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
+def _refuse(name: str):
+    raise ValueError(name)
+
+
+def locate(payload: bytes, scope: str = "user_content", pinned: str | None = None, strict: bool = False) -> dict:
+    """Schema, reason for leaving the payload alone, and eligible spans in order, as absolute byte ranges. strict: a payload
+    other than text that isn't valid JSON is malformed, even where its eligible strings could be read."""
     schema = pinned or sniff(payload)
+    bom = len(BOM) if payload.startswith(BOM) else 0
+    if strict and schema != "text" and not is_valid(payload[bom:]):
+        return {"schema": schema, "noop_reason": "malformed", "spans": []}
     if schema is None:
         return {"schema": None, "noop_reason": "unknown_schema", "spans": []}
-    bom = len(BOM) if payload.startswith(BOM) else 0
     if schema == "text":
         found = [(_Text(0, len(payload) - bom), "user")]
     else:
@@ -217,12 +248,12 @@ def locate(payload: bytes, scope: str = "user_content", pinned: str | None = Non
     return {"schema": schema, "noop_reason": None, "spans": [{"start": a, "end": b, "class": c} for a, b, c in spans]}
 
 
-def locate_column(body: Column, scope: str = "user_content", pinned: str | None = None) -> Column:
+def locate_column(body: Column, scope: str = "user_content", pinned: str | None = None, strict: bool = False) -> Column:
     """locate() over Arrow batches, as LOCATED. A null payload is an empty one."""
 
     @F.arrow_udf(LOCATED)
     def run(bodies: pa.Array) -> pa.Array:
-        out = [locate(x or b"", scope, pinned) for x in bodies.to_pylist()]
+        out = [locate(x or b"", scope, pinned, strict) for x in bodies.to_pylist()]
         span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("class", pa.string())])
         return pa.array(out, pa.struct([("schema", pa.string()), ("noop_reason", pa.string()), ("spans", pa.list_(span))]))
 

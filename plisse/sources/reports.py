@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plisse.functions.text import latin1
-from plisse.plans.options import BODY_LIMIT
+from plisse.plans.options import ALGO_VERSION, BODY_LIMIT
 
 #: Names in the order in which they are written. Fixed formats.
 HEADERS = ("bytes_in", "bytes_out", "approx_tokens_in", "approx_tokens_out", "groups_collapsed", "exact_runs", "ws_runs", "block_repeats", "template_groups", "templated_blocks", "record_splits", "degraded", "algo_version")
@@ -55,12 +55,34 @@ def close_envelopes(compressed: DataFrame) -> DataFrame:
 def request_metrics(log: DataFrame) -> DataFrame:
     """log(route, status) counted: (route, status, requests, line), the line being that of a text exposition."""
     n = log.groupBy("route", "status").agg(F.count("*").alias("requests"))
-    return n.withColumn("line", F.format_string('requests_total{route="%s",status="%s"} %d', "route", F.col("status").cast("string"), "requests"))
+    return n.withColumn("line", F.format_string('http_requests_total{route="%s",status="%s"} %d', "route", F.col("status").cast("string"), "requests"))
 
 
 def transfer_metrics(compressed: DataFrame) -> DataFrame:
     """One row: bytes in and out, and degraded payloads."""
-    return compressed.agg(F.sum("bytes_in").alias("bytes_in_total"), F.sum("bytes_out").alias("bytes_out_total"), F.count_if("degraded").alias("degraded_total"))
+    return compressed.agg(F.coalesce(F.sum("bytes_in"), F.lit(0)).alias("bytes_in_total"), F.coalesce(F.sum("bytes_out"), F.lit(0)).alias("bytes_out_total"), F.count_if("degraded").alias("degraded_total"))
+
+
+#: Families of the exposition: name, kind, help. Fixed format.
+FAMILIES = (
+    ("http_requests_total", "counter", "Requests served, by route and status."),
+    ("payload_bytes_total", "counter", "Payload bytes handled, by direction."),
+    ("pass_through_total", "counter", "Responses that passed a payload through untouched."),
+    ("build_info", "gauge", "Algorithm version and build flags."),
+)
+
+
+def exposition(log: DataFrame, compressed: DataFrame, reversible: bool = True) -> DataFrame:
+    """(place, line): the four metric families as lines of a text exposition, each after its HELP and TYPE, in order of place."""
+    head = lambda k: [(k, 0, "", f"# HELP {FAMILIES[k][0]} {FAMILIES[k][2]}"), (k, 1, "", f"# TYPE {FAMILIES[k][0]} {FAMILIES[k][1]}")]
+    schema = "family int, part int, key string, line string"
+    fixed = log.sparkSession.createDataFrame([x for k in range(4) for x in head(k)] + [(3, 2, "", f'build_info{{algo_version="{ALGO_VERSION}",reversible="{str(reversible).lower()}"}} 1')], schema)
+    requests = request_metrics(log).select(F.lit(0).alias("family"), F.lit(2).alias("part"), F.concat_ws(" ", "route", F.lpad(F.col("status").cast("string"), 5, "0")).alias("key"), "line")
+    t = transfer_metrics(compressed)
+    values = [(1, 2, 'payload_bytes_total{direction="in"} %d', "bytes_in_total"), (1, 3, 'payload_bytes_total{direction="out"} %d', "bytes_out_total"), (2, 2, "pass_through_total %d", "degraded_total")]
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("family"), F.lit(b).alias("part"), F.lit("").alias("key"), F.format_string(f, n).alias("line")) for a, b, f, n in values]))
+    lines = fixed.unionByName(requests).unionByName(t.select(each.alias("x")).select("x.*"))
+    return lines.select(F.struct("family", "part", "key").alias("place"), "line")
 
 
 def preview(body: Column, n: int = 80) -> Column:

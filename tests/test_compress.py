@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import xxhash
 from pyspark.sql import functions as F
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 from plisse.functions import text as T
 from plisse.operators import restore as R
 from plisse.operators.splice import originals, spliced_length
-from plisse.operators.units import explode_spans, joiners, split_units
+from plisse.operators.units import explode_spans, joiners, split_pieces, split_units
 from plisse.plans.compress import check_pin, compress, locate_payloads
 from plisse.plans.options import Options
+from plisse.sources.locate import is_valid, locate
 
 WIDTH = {"exact_run": 26, "ws_run": 31, "block": 22, "template_group": 31, "templated_block": 32}
 
@@ -178,3 +180,53 @@ def test_pins(spark):
     rows = [(1, payload("x")), (2, bytearray(b'{"input":"x"}')), (3, bytearray(b'{"messages":[}')), (4, bytearray(b"[1]"))]
     got = {r.payload_id: r.content_type_mismatch for r in check_pin(spark.createDataFrame(rows, "payload_id long, body binary"), "chat").collect()}
     assert got == {1: False, 2: True, 3: True, 4: True}
+
+
+def test_strict_validation(spark):
+    """Documents that the lenient reader takes and the letter of JSON doesn't, and both sides of the limit of depth."""
+    lenient = ['{"messages":[],"n":01}', '{"messages":[],"n":1.}', '{"messages":[],"n":nulls}', '{"messages":[],"n":-}', '{"messages":[{"role":"user","content":"\\x"}]}', '{"messages":[],"n":NaN}', '{"n":[1 2],"messages":[]}']
+    valid = ['{"messages":[],"n":[-0.5e+3,true,null,"\\u00e9"]}', '{"messages":[],"n":' + "[" * 63 + "]" * 63 + "}"]
+    broken = ['{"messages":[],"n":' + "[" * 64 + "]" * 64 + "}", '{"messages":[]} x']
+    for t in lenient + broken:
+        assert not is_valid(t.encode()), t
+    for t in valid:
+        assert is_valid(t.encode()) and locate(t.encode(), strict=True)["noop_reason"] is None
+    assert locate(b"no json", strict=True)["schema"] == "text" and locate(b"[1,]", strict=True)["noop_reason"] == "malformed"
+    line = "the very same line of the log, again"
+    body = json.dumps({"messages": [{"role": "user", "content": "\n".join([line] * 5)}]}, separators=(",", ":"))[:-1] + ',"n":01}'
+    df = spark.createDataFrame([(1, bytearray(body.encode()))], "payload_id long, body binary")
+    assert compress(df).first().exact_runs == 1
+    r = compress(df, Options(strict_validate=True)).first()
+    assert r.noop_reason == "malformed" and bytes(r.out) == bytes(r.body) and r.degraded
+
+
+def test_a_span_of_too_many_forms_passes_through(spark):
+    """More different masked forms in one span than the table holds: that span stays, with degraded set, others are folded."""
+    names = ["".join(random.Random(i).choices("ghijklmnop", k=12)) for i in range(40)]
+    crowded, plain = "\n".join(names + [names[0] + " and some more of it"] * 9), "\n".join(["the same line of text every time"] * 9)
+    body = json.dumps({"messages": [{"role": "user", "content": t} for t in (crowded, plain)]}, separators=(",", ":"))
+    df = spark.createDataFrame([(1, bytearray(body.encode()))], "payload_id long, body binary")
+    whole, cut = compress(df).first(), compress(df, table_keys=30).first()
+    assert (whole.exact_runs, whole.degraded) == (2, False)
+    assert (cut.exact_runs, cut.degraded, cut.noop_reason) == (1, True, None) and [c.span_no for c in cut.commits] == [1]
+    assert compress(df, table_keys=41).first().exact_runs == 2
+
+
+def test_splitting_is_linear_in_the_lines_of_a_span(spark):
+    """77,000 lines of one span are split, and looked through, in seconds."""
+    text = "\n".join(f"line {i} {i * 7919 % 104729:x}" for i in range(77_000))
+    df = spark.createDataFrame([(1, payload(text))], "payload_id long, body binary")
+    spans = explode_spans(locate_payloads(df, Options()))
+    split_units(spans).count()
+    began = time.monotonic()
+    assert split_units(spans).count() == 77_000
+    assert time.monotonic() - began < 20
+    r = compress(df).first()
+    assert r.template_groups + r.templated_blocks == r.groups_collapsed
+
+
+def test_no_text_is_looked_through_beside_a_generator(spark):
+    """The pieces alone go past the generator: above it, no pattern is searched in the text or in a line."""
+    plan = split_pieces(explode_spans(locate_payloads(spark.createDataFrame([(1, payload("a"))], "payload_id long, body binary"), Options())))._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate explode")]
+    assert "_lines" not in above and "regexp_extract_all" not in above and "text#" not in above.split("Generate posexplode")[0]

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from plisse.plans import evaluation as E
 from plisse.plans.compress import compress
+from plisse.plans.options import Options
 from plisse.sources import corpus, reports
 from plisse.streaming import compress_stream
 
@@ -25,7 +26,7 @@ def test_headers_json_and_envelopes(spark):
 
 def test_request_metrics(spark):
     log = spark.createDataFrame([("/v1/compress", 200), ("/v1/compress", 200), ("/healthz", 404)], "route string, status int")
-    assert {r.line for r in reports.request_metrics(log).collect()} == {'requests_total{route="/v1/compress",status="200"} 2', 'requests_total{route="/healthz",status="404"} 1'}
+    assert {r.line for r in reports.request_metrics(log).collect()} == {'http_requests_total{route="/v1/compress",status="200"} 2', 'http_requests_total{route="/healthz",status="404"} 1'}
 
 
 def test_summaries(spark):
@@ -51,6 +52,9 @@ def test_answers_tokens_and_text(spark):
     assert r[0].u == "a\nbé" and r[1].u is None and (r[0].n, r[1].n, r[0].none) == (2, None, None) and int(r[0].a) > 10
     f = spark.createDataFrame([(["ERROR a status=500", "ok"],)], "l array<string>").select(E.log_facts(F.col("l")).alias("f")).first().f
     assert (f.lines, f.errors, f.status) == (2, 1, "500")
+    logs = ["ERROR a status=500 path=/x user=ann took 7ms", "ok (cache warm) path=/y took 31ms", "path=/x"]
+    f = spark.createDataFrame([(logs,)], "l array<string>").select(E.log_facts(F.col("l")).alias("f")).first().f
+    assert (f.place, f.paths, f.users, f.slowest_ms) == ("cache warm", ["/x", "/y"], ["ann"], 31)
 
 
 def test_generated_corpora(spark):
@@ -58,10 +62,44 @@ def test_generated_corpora(spark):
         r = compress(corpus.chat_payloads(spark, 2, 240, schema)).collect()
         assert len(r) == 2 and all(x.schema == schema and x.noop_reason is None for x in r)
         assert all(x.groups_collapsed > 0 for x in r)
-    a = {r.name: r for r in compress(corpus.adversarial(spark, 300)).join(corpus.adversarial(spark, 300).select("payload_id", "name"), "payload_id").collect()}
-    assert a["deep-96"].noop_reason == "malformed" and a["deep-60"].noop_reason is None
-    assert a["records-over-cap"].record_splits == 1 and a["records-over-cap"].bytes_out < a["records-over-cap"].bytes_in / 10
-    assert a["unique-lines"].groups_collapsed == a["unique-lines"].template_groups + a["unique-lines"].templated_blocks
+    given = corpus.adversarial(spark, 300)
+    a = {r.name: r for r in compress(given).join(given.select("payload_id", "name"), "payload_id").collect()}
+    assert a["depth-beyond"].noop_reason == "malformed" and a["depth-within"].noop_reason is None
+    assert a["many-small-records"].record_splits == 1 and a["many-small-records"].bytes_out < a["many-small-records"].bytes_in / 10
+    assert a["block-within"].block_repeats >= 1 and a["block-beyond"].block_repeats == 0
+    assert a["record-within"].groups_collapsed == 1 and a["record-beyond"].groups_collapsed == 0
+    assert [a[n].record_splits for n in ("line-within", "line-beyond")] == [0, 1]
+    given = corpus.golden(spark)
+    g = {r.name: r for r in compress(given).join(given.select("payload_id", "name"), "payload_id").collect()}
+    folded = {n for n, r in g.items() if r.groups_collapsed}
+    assert folded == {"chat-string", "chat-parts", "chat-spaced", "responses-string", "responses-items", "messages-blocks", "text", "bom", "twice", "escaped-key", "other-breaks", "unicode"}
+    assert g["broken"].noop_reason == "malformed" and g["unknown"].noop_reason == "unknown_schema" and all(r.groups_collapsed <= 1 for r in g.values())
+
+
+def test_perf_payload(spark):
+    r = compress(corpus.perf_payloads(spark, 2, 300_000)).orderBy("payload_id").collect()
+    assert [x.bytes_in > 300_000 for x in r] == [True, True] and bytes(r[0].body) != bytes(r[1].body)
+    assert all(x.bytes_out < x.bytes_in / 5 and x.exact_runs and x.ws_runs and x.block_repeats and x.template_groups and x.templated_blocks and x.record_splits for x in r)
+
+
+def test_exposition_and_json_report(spark):
+    log = spark.createDataFrame([("/v1/compress", 200), ("/healthz", 200)], "route string, status int")
+    c = compress(corpus.golden(spark).limit(4)).join(corpus.golden(spark).select("payload_id", "name", "stratum"), "payload_id")
+    lines = [r.line for r in reports.exposition(log, c).orderBy("place").collect()]
+    assert lines[:4] == ["# HELP http_requests_total Requests served, by route and status.", "# TYPE http_requests_total counter", 'http_requests_total{route="/healthz",status="200"} 1', 'http_requests_total{route="/v1/compress",status="200"} 1']
+    assert sum(x.startswith("# HELP") for x in lines) == 4 and 'build_info{algo_version="0.1.0",reversible="true"} 1' == lines[-1]
+    assert f'payload_bytes_total{{direction="in"}} {sum(r.bytes_in for r in c.collect())}' in lines
+    m = E.measurements(c)
+    report = json.loads(E.json_report(E.summaries(m), m, Options().echo()).first().report)
+    assert len(report["payloads"]) == 4 and report["target_permille"] == 400 and report["summaries"][0]["stratum"] == "golden"
+    assert report["options"]["marker_style"] == "auto" and report["payloads"][0]["detectors"]["exact_runs"] == 0
+
+
+def test_tokens_of_a_public_vocabulary(spark):
+    encode = E.public_encoder()
+    c = compress(corpus.chat_payloads(spark, 2, 240)).withColumn("stratum", F.lit("x"))
+    r = E.measurements(c, "words", encode).collect()
+    assert len(r) == 2 and all(x.tokens_in == len(encode(bytes(x.body).decode())) and 0 < x.tokens_out < x.tokens_in for x in r)
 
 
 def test_stream(spark, tmp_path):
