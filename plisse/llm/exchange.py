@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import shuffle_parts, trim
+from .common import only, shuffle_parts, trim
 
 SCHEMA = "part int, payload binary"
 
@@ -60,6 +60,20 @@ def to_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "payload"])
 
 
+def batches(rows: Iterable[tuple[int, bytes]], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows (part, payload) in batches of about limit bytes, so that neither side holds more of them at once."""
+    held: list[tuple[int, bytes]] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1])
+        if size >= limit:
+            yield to_batch(held)
+            held, size = [], 0
+    if held:
+        yield to_batch(held)
+
+
 def deal(sent: DataFrame, reduce: Callable[[Iterator[tuple[int, Iterator[bytes]]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Send rows (part, payload) to the tasks of their parts, the part being the task's number; reduce gets each part with its payloads."""
 
@@ -80,6 +94,7 @@ def deal(sent: DataFrame, reduce: Callable[[Iterator[tuple[int, Iterator[bytes]]
                 for _ in own:
                     pass
 
+        only()
         trim()
         yield from reduce(parts())
         trim()
