@@ -16,11 +16,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import components, mix, save, slices, table, text_buffer
+from .common import components, drop, fresh, mix, only, save, slices, table, text_buffer
 from .suffix_dedup import Rolling
 
 WORDS = 5
@@ -29,8 +29,9 @@ SIMILAR = 80
 #: Document frequencies from which shingles rank alike, by hash alone. A task sends a shingle that is this frequent in what it gathered
 #: as a count, not as so many entries: its documents know the rank already.
 FREQUENT = 64
-#: Bytes of text made into shingles at once; shingles that a map task gathers before it sends them.
-SLICE, GATHER = 1 << 20, 1_500_000
+#: Bytes of text made into shingles at once; shingles that a map task gathers before it sends them; entries that a reducing task
+#: sorts at once (one document's at least).
+SLICE, GATHER, SORTED = 1 << 20, 750_000, 400_000
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -95,12 +96,12 @@ def _unsteps(raw: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64))
 
 
-def _doc_rows(uid: np.ndarray, doc: pa.Array, n: np.ndarray, f1: np.ndarray, f2: np.ndarray) -> bytes:
+def _doc_rows(uid: np.ndarray, doc: pa.Array, n: np.ndarray, *prints: np.ndarray) -> bytes:
     null = doc.is_null().to_numpy(zero_copy_only=False)
-    return b"\2" + exchange.pack([uid, np.asarray(doc.fill_null(0)).astype(np.int64), null.astype(np.uint8), n.astype(np.int64), f1, f2])
+    return b"\2" + exchange.pack([uid, np.asarray(doc.fill_null(0)).astype(np.int64), null.astype(np.uint8), n.astype(np.int64), *prints])
 
 
-DOC_KINDS = ["<i8", "<i8", "u1", "<i8", "<u8", "<u8"]
+DOC_KINDS = ["<i8", "<i8", "u1", "<i8", "<u8", "<u8", "<i8", "<i8"]
 SHARED_KINDS = ["<i8", "<u8", "u1"]
 
 
@@ -108,6 +109,7 @@ def _index(parts: int):
     """Map side: documents, locally frequent shingles settled, and the rest by range of hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         base = first = TaskContext.get().partitionId() << 40
         held: list[tuple] = []
         size = 0
@@ -120,33 +122,40 @@ def _index(parts: int):
                 begin = (np.cumsum(n) - n)[full]
                 f1[full] = np.add.reduceat(mix(h), begin)
                 f2[full] = np.add.reduceat(mix(h ^ _U(0x5851F42D4C957F2D)), begin)
-            held.append((owner + (base - first), h, np.arange(base, base + b.num_rows), b.column("doc_id"), n, f1, f2))
+            keys = [b.column(k).to_numpy() for k in ("k1", "k2")]
+            held.append((owner + (base - first), h, np.arange(base, base + b.num_rows), b.column("doc_id"), n, f1, f2, *keys))
             base += b.num_rows
             size += len(h)
             if size > GATHER:
-                yield send(first, held)
-                first, held, size = base, [], 0
+                yield from exchange.batches(send(first, held))
+                first, size = base, 0
         if held:
-            yield send(first, held)
+            yield from exchange.batches(send(first, held))
 
-    def send(first: int, held: list[tuple]) -> pa.RecordBatch:
-        owner, h, uid = (np.concatenate([x[i] for x in held]) for i in range(3))
+    def send(first: int, held: list[tuple]) -> Iterator[tuple[int, bytes]]:
+        """Rows of what is held, which is emptied first."""
+        owner, h, uid, n, f1, f2, k1, k2 = (np.concatenate([x[i] for x in held]) for i in (0, 1, 2, 4, 5, 6, 7, 8))
         doc = pa.concat_arrays([x[3] for x in held])
-        n, f1, f2 = (np.concatenate([x[i] for x in held]) for i in range(4, 7))
-        rows = [(part, _doc_rows(*cols)) for part, cols in _by_uid(uid, [uid, doc, n, f1, f2], parts)]
-        if len(h):
-            kinds, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-            often = count[inverse] >= FREQUENT
-            if often.any():
-                hot = count >= FREQUENT
-                cols = [_reduced(kinds[hot], parts), count[hot].astype(np.int64)]
-                rows += [(p, b"\3" + exchange.pack(c)) for p, c in exchange.split(exchange.part_of(kinds[hot], parts), cols)]
-                cols = [owner[often] + first, _reduced(h[often], parts), np.full(int(often.sum()), FREQUENT, np.uint8)]
-                rows += [(p, b"\1" + exchange.pack(c)) for p, c in _by_uid(cols[0], cols, parts)]
-                owner, h = owner[~often], h[~often]
-            for p, (local, own) in exchange.split(exchange.part_of(h, parts), [owner, h]):
-                rows.append((p, b"\0" + first.to_bytes(8, "little") + len(own).to_bytes(8, "little") + _steps(local).tobytes() + _low(own).tobytes()))
-        return exchange.to_batch(rows)
+        held.clear()
+        for part, cols in _by_uid(uid, [uid, doc, n, f1, f2, k1, k2], parts):
+            yield part, _doc_rows(*cols)
+        if not len(h):
+            return
+        kinds, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+        hot = count >= FREQUENT
+        often = hot[inverse]
+        del inverse
+        if often.any():
+            cols = [_reduced(kinds[hot], parts), count[hot].astype(np.int64)]
+            for p, c in exchange.split(exchange.part_of(kinds[hot], parts), cols):
+                yield p, b"\3" + exchange.pack(c)
+            cols = [owner[often] + first, _reduced(h[often], parts), np.full(int(often.sum()), FREQUENT, np.uint8)]
+            for p, c in _by_uid(cols[0], cols, parts):
+                yield p, b"\1" + exchange.pack(c)
+            owner, h = owner[~often], h[~often]
+        del kinds, count, hot, often
+        for p, (local, own) in exchange.split(exchange.part_of(h, parts), [owner, h]):
+            yield p, b"\0" + first.to_bytes(8, "little") + len(own).to_bytes(8, "little") + _steps(local).tobytes() + _low(own).tobytes()
 
     return run
 
@@ -163,72 +172,101 @@ def _by_uid(uid: np.ndarray, columns: list, parts: int) -> Iterator[tuple[int, l
 
 
 def _count(parts: int):
-    """First exchange, by shingle: counts documents and sends shared shingles on to their documents."""
+    """First exchange, by shingle: counts documents and sends shared shingles on to their documents.
+
+    A range's entries wait in the packed form in which they came, and are sorted and counted a stretch of hashes at a time.
+    """
 
     def run(groups: Iterator[tuple[int, Iterator[bytes]]]) -> Iterator[pa.RecordBatch]:
         for part, payloads in groups:
-            tokens, uids, hot, counts = [], [], [], []
-            passed: list[tuple[int, bytes]] = []
-            for x in payloads:
-                if x[0] in (1, 2):
-                    passed.append((part, x))
-                elif x[0] == 3:
-                    a, c = exchange.unpack(x[1:], ["<u8", "<i8"])
-                    hot.append(a)
-                    counts.append(c)
-                else:
-                    n = int.from_bytes(x[9:17], "little")
-                    tokens.append(_widen(np.frombuffer(x, np.uint8, 6 * n, 17 + 4 * n), part))
-                    uids.append(int.from_bytes(x[1:9], "little") + _unsteps(np.frombuffer(x, np.uint8, 4 * n, 17)))
-            if passed:
-                yield exchange.to_batch(passed)
-            if not tokens:
+            entries: list[tuple[int, np.ndarray, np.ndarray]] = []
+            hot, counts = [], []
+
+            def passed(payloads=payloads, part=part, entries=entries, hot=hot, counts=counts) -> Iterator[tuple[int, bytes]]:
+                for x in payloads:
+                    if x[0] in (1, 2):
+                        yield part, x
+                    elif x[0] == 3:
+                        a, c = exchange.unpack(x[1:], ["<u8", "<i8"])
+                        hot.append(a)
+                        counts.append(c)
+                    else:
+                        n = int.from_bytes(x[9:17], "little")
+                        entries.append((int.from_bytes(x[1:9], "little"), np.frombuffer(x, np.uint8, 4 * n, 17), np.frombuffer(x, np.uint8, 6 * n, 17 + 4 * n).reshape(n, 6)))
+
+            yield from exchange.batches(passed())
+            extra_t, extra = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            if hot:
+                extra_t, inverse = np.unique(np.concatenate(hot), return_inverse=True)
+                extra = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
+            yield from exchange.batches(shared(part, entries, extra_t, extra))
+
+    def shared(part: int, entries: list[tuple[int, np.ndarray, np.ndarray]], extra_t: np.ndarray, extra: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        stretches = min(256, 1 + sum(len(x[2]) for x in entries) // SORTED)
+        for s in range(stretches):
+            low, uid = [], []
+            for first, step, raw in entries:
+                own = raw[:, 5].astype(np.int64) * stretches >> 8 == s
+                low.append(raw[own].ravel())
+                uid.append(first + _unsteps(step)[own])
+            if not sum(map(len, uid)):
                 continue
-            token, uid = np.concatenate(tokens), np.concatenate(uids)
+            token, uid = _widen(np.concatenate(low), part), np.concatenate(uid)
             order = np.argsort(token)
             token, uid = token[order], uid[order]
             head = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             n = np.diff(np.append(head, len(token)))
-            if hot:
-                extra_t, inverse = np.unique(np.concatenate(hot), return_inverse=True)
-                extra = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
+            n_all = n
+            if len(extra_t):
                 at = np.minimum(np.searchsorted(extra_t, token[head]), len(extra_t) - 1)
                 n_all = n + np.where(extra_t[at] == token[head], extra[at], 0)
-            else:
-                n_all = n
             frequency = np.repeat(n_all, n)
             keep = frequency >= 2
             cols = [uid[keep], token[keep], np.minimum(frequency[keep], FREQUENT).astype(np.uint8)]
-            rows = [(p, b"\1" + exchange.pack(c)) for p, c in _by_uid(cols[0], cols, parts)]
-            if rows:
-                yield exchange.to_batch(rows)
+            del low, uid, token, order, frequency, keep
+            for p, c in _by_uid(cols[0], cols, parts):
+                yield p, b"\1" + exchange.pack(c)
 
     return run
 
 
 def _gather(groups: Iterator[tuple[int, Iterator[bytes]]]) -> Iterator[pa.RecordBatch]:
-    """Second exchange, by document: its size and, if its prefix reaches one, its shared shingles in the common order."""
+    """Second exchange, by document: its size and, if its prefix reaches one, its shared shingles in the common order; some
+    documents at a time, of SORTED shared shingles together."""
     for _, payloads in groups:
         docs, shared = [], []
         for x in payloads:
             (docs if x[0] == 2 else shared).append(exchange.unpack(x[1:], DOC_KINDS if x[0] == 2 else SHARED_KINDS))
-        uid, doc, null, n, f1, f2 = (np.concatenate(c) for c in zip(*docs, strict=True))
-        order = np.argsort(uid)
-        uid, doc, null, n, f1, f2 = (c[order] for c in (uid, doc, null, n, f1, f2))
-        lists, known = pa.nulls(len(uid), pa.list_(pa.int64())), np.zeros(len(uid), np.int64)
-        if shared:
-            su, st, sf = (np.concatenate(c) for c in zip(*shared, strict=True))
-            order = np.lexsort((st, sf, su))
-            su, st = su[order], st[order]
-            at = np.searchsorted(uid, su)
-            known = np.bincount(at, minlength=len(uid))
-            able = n - known < prefix(n)
-            take = able[at]
-            ends = np.concatenate(([0], np.cumsum(np.where(able, known, 0))))
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(st[take].view(np.int64)))
-            lists = pc.if_else(pa.array(able & (known > 0)), lists, pa.nulls(len(uid), lists.type))
-        ids = pa.array(doc, pa.int64(), mask=null.astype(bool))
-        yield pa.RecordBatch.from_arrays([pa.array(uid), ids, pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(n - known), lists], names=["uid", "doc_id", "n", "f1", "f2", "alone", "shared"])
+        table = [np.concatenate(c) for c in zip(*docs, strict=True)]
+        order = np.argsort(table[0])
+        table = [c[order] for c in table]
+        known = np.zeros(len(order), np.int64)
+        for x in shared:
+            known += np.bincount(np.searchsorted(table[0], x[0]), minlength=len(known))
+        reach = np.cumsum(known)
+        at = 0
+        while at < len(order):
+            stop = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + SORTED, "right")))
+            yield _sets([c[at:stop] for c in table], known[at:stop], shared)
+            at = stop
+
+
+def _sets(table: list[np.ndarray], known: np.ndarray, shared: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """The rows of some documents, ascending in number."""
+    uid, doc, null, n, f1, f2, k1, k2 = table
+    lists = pa.nulls(len(uid), pa.list_(pa.int64()))
+    if known.any():
+        own = [(x[0] >= uid[0]) & (x[0] <= uid[-1]) for x in shared]
+        su, st, sf = (np.concatenate([x[i][m] for x, m in zip(shared, own, strict=True)]) for i in range(3))
+        order = np.lexsort((st, sf, su))
+        su, st = su[order], st[order]
+        able = n - known < prefix(n)
+        take = able[np.searchsorted(uid, su)]
+        ends = np.concatenate(([0], np.cumsum(np.where(able, known, 0))))
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(st[take].view(np.int64)))
+        lists = pc.if_else(pa.array(able & (known > 0)), lists, pa.nulls(len(uid), lists.type))
+    ids = pa.array(doc, pa.int64(), mask=null.astype(bool))
+    return pa.RecordBatch.from_arrays([pa.array(uid), ids, pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(k1), pa.array(k2), pa.array(n - known), lists], names=["uid", "doc_id", "n", "f1", "f2", "k1", "k2", "alone", "shared"])
 
 
 def prefix(n):
@@ -236,14 +274,20 @@ def prefix(n):
     return n - -(-SIMILAR * n // 100) + 1
 
 
-SETS = "uid long, doc_id long, n long, f1 long, f2 long, alone long, shared array<long>"
+SETS = "uid long, doc_id long, n long, f1 long, f2 long, k1 long, k2 long, alone long, shared array<long>"
+
+
+def _keys() -> tuple[Column, Column]:
+    """Two fingerprints of a row's doc_id and text, by which it is found again."""
+    row = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return F.xxhash64(*row), F.xxhash64(F.lit(1), *row)
 
 
 def prefix_sets(docs: DataFrame) -> DataFrame:
-    """Per row of docs(doc_id, text): size of its set, two fingerprints of it, number of shingles that no other document has,
-    and, unless its prefix consists of those, the others in the common order."""
+    """Per row of docs(doc_id, text): size of its set, two fingerprints of it and of the row, number of shingles that no other
+    document has, and, unless its prefix consists of those, the others in the common order."""
     parts = exchange.ranges(docs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(k.alias(n) for k, n in zip(_keys(), ("k1", "k2"), strict=True)))
     counted = exchange.deal(texts.mapInArrow(_index(parts), exchange.SCHEMA), _count(parts), exchange.SCHEMA)
     return exchange.deal(counted, _gather, SETS)
 
@@ -265,7 +309,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where((100 + SIMILAR) * common >= SIMILAR * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _links(sets: DataFrame) -> DataFrame:
+def _links(sets: DataFrame, scratch: list[str]) -> DataFrame:
     """Links (a, b) between rows' numbers of distinct sets: not all of them, but enough that their components are exact.
 
     First each shingle's most connected group (the one with the fewest shingles of its own) is verified against the others of
@@ -276,10 +320,10 @@ def _links(sets: DataFrame) -> DataFrame:
     reach = (prefix_length(F.col("n")) - F.col("alone")).cast("int")
     base = sets.where("shared is not null").select("uid", "n", F.size("shared").alias("known"), F.slice("shared", F.lit(1), reach).alias("prefix"))
     base = base.join(first.select("uid"), "uid", "left_semi").select("*", F.xxhash64("n", "prefix").alias("g1"), F.xxhash64(F.lit(1), "n", "prefix").alias("g2"))
-    base = save(base, "prefixes")
+    base = save(base, "prefixes", scratch)
     groups = base.groupBy("g1", "g2").agg(F.min("uid").alias("gid"), F.max("known").alias("known"), F.max(F.struct("known", "uid"))["uid"].alias("middle"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    groups = save(groups, "prefix-groups")
-    members = save(base.select("uid", "n", "known", "g1", "g2").join(groups.select("g1", "g2", "gid"), ["g1", "g2"]).drop("g1", "g2"), "group-members")
+    groups = save(groups, "prefix-groups", scratch)
+    members = save(base.select("uid", "n", "known", "g1", "g2").join(groups.select("g1", "g2", "gid"), ["g1", "g2"]).drop("g1", "g2"), "group-members", scratch)
     entries = groups.select("gid", "middle", "n", "known", F.posexplode("prefix").alias("pos", "shingle"))
 
     best = F.max(F.struct((F.col("known") / F.col("n")).alias("share"), "gid", "middle", "n", "known", "pos")).alias("p")
@@ -287,10 +331,10 @@ def _links(sets: DataFrame) -> DataFrame:
     stars = entries.alias("e").join(pivots.alias("p"), "shingle").where(_bound("e", "p") & (F.col("e.gid") != F.col("p.gid"))).select(F.col("p.middle").alias("a"), F.col("e.gid").alias("gid")).distinct()
     own = groups.where("members > 1").select(F.col("middle").alias("a"), "gid")
     stars = stars.union(own).join(members, "gid").where("a != uid").select("a", F.col("uid").alias("b"))
-    one = save(_verify(stars, sets), "links-star")
+    one = save(_verify(stars, sets), "links-star", scratch)
 
-    united = components(one)
-    members = save(members.join(united, members["uid"] == united["node"], "left").select("uid", "gid", "n", "known", F.coalesce("component", "uid").alias("component")), "members-united")
+    united = components(one, scratch=scratch)
+    members = save(members.join(united, members["uid"] == united["node"], "left").select("uid", "gid", "n", "known", F.coalesce("component", "uid").alias("component")), "members-united", scratch)
     range_of = members.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
     e = entries.join(range_of, "gid").select("shingle", "gid", "n", "known", "pos", "lo", "hi")
     apart = ~((F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi")) & (F.col("x.lo") == F.col("x.hi")))
@@ -300,7 +344,7 @@ def _links(sets: DataFrame) -> DataFrame:
     y = members.select(F.col("gid").alias("gy"), F.col("uid").alias("b"), F.col("n").alias("n2"), F.col("known").alias("k2"), F.col("component").alias("c2"))
     enough = (100 + SIMILAR) * F.least("k1", "k2") >= SIMILAR * (F.col("n1") + F.col("n2"))
     rest = pairs.union(within).join(x, "gx").join(y, "gy").where((F.col("c1") != F.col("c2")) & enough & ((F.col("gx") != F.col("gy")) | (F.col("a") < F.col("b")))).select("a", "b")
-    two = save(_verify(rest, sets), "links-rest")
+    two = save(_verify(rest, sets), "links-rest", scratch)
     return one.union(two)
 
 
@@ -309,6 +353,16 @@ def prefix_length(n):
     return n - F.ceil(SIMILAR * n / 100) + 1
 
 
+def _classes(sets: DataFrame, scratch: list[str]) -> DataFrame:
+    """(n, f1, f2, c): each distinct set that isn't empty, and the number of its component. The tables made on the way are
+    deleted, but for one that is added to scratch."""
+    own: list[str] = []
+    linked = components(_links(sets, own), scratch=scratch)
+    drop(sets.sparkSession, own)
+    whole = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("uid").alias("uid"))
+    return whole.join(linked, whole["uid"] == linked["node"], "left").select("n", "f1", "f2", F.coalesce("component", "uid").alias("c"))
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each row of docs(doc_id, text).
 
@@ -316,27 +370,40 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     repeated rows among them, are linked. A null doc_id is linked like any other; it is the smallest of none. An empty table
     gives no rows; other columns are ignored. Whole texts are read, however long.
     """
+    scratch: list[str] = []
     sets = save(prefix_sets(docs), "shingle-sets")
-    linked = components(_links(sets))
-    whole = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least"))
-    whole = whole.join(linked, whole["uid"] == linked["node"], "left").select("n", "f1", "f2", "least", F.coalesce("component", "uid").alias("c"))
-    whole = save(whole, "set-classes")
-    least = whole.groupBy("c").agg(F.min("least").alias("component_id"))
-    whole = whole.join(least, "c").select("n", "f1", "f2", "component_id")
     rows = sets.select("doc_id", "n", "f1", "f2")
+    least = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("least"))
+    whole = save(_classes(sets, scratch).join(least, ["n", "f1", "f2"]), "set-classes")
+    drop(docs.sparkSession, scratch)
+    whole = whole.join(whole.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("n", "f1", "f2", "component_id")
     out = rows.where("n > 0").join(whole, ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.union(rows.where("n = 0").select("doc_id", "n", "doc_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs, all columns kept, with one document of each component: that of the smallest doc_id. Rows repeated in doc_id and
-    text count as one document."""
-    found = similar_documents(docs)
-    kept = found.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull() & F.col("component_id").isNull()).select(F.col("doc_id").alias("_kept"), F.lit(1).alias("_one"))
-    kept = kept.groupBy("_kept").agg(F.count("*").alias("_rows"))
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "inner")
-    single = out.where("_rows = 1").drop("_kept", "_rows")
-    return single.unionByName(out.where("_rows > 1").drop("_kept", "_rows").dropDuplicates(["doc_id", "text"]))
+    """docs, all columns kept, with one row of each component of similar_documents(): that of the smallest doc_id, null after
+    all others, and of several such rows one. Rows without words are linked with nothing and all stay, null texts too; an
+    empty table gives no rows; columns may have any names."""
+    k1, k2 = fresh(docs, "k1", "k2")
+    scratch: list[str] = []
+    sets = save(prefix_sets(docs), "shingle-sets", scratch)
+    rows = sets.where("n > 0").select("n", "f1", "f2", F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    best = rows.groupBy("n", "f1", "f2").agg(F.min(F.struct("none", "doc_id", "k1", "k2")).alias("best"))
+    best = best.join(_classes(sets, scratch), ["n", "f1", "f2"]).groupBy("c").agg(F.min("best").alias("best"))
+    best = save(best, "set-classes", scratch)
+    kept = best.select(F.col("best.k1").alias(k1), F.col("best.k2").alias(k2))
+    key = [k.alias(n) for k, n in zip(_keys(), (k1, k2), strict=True)]
+    keyed = docs.select("*", *key)
+    wordless = F.coalesce(~F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    # A row given several times is kept once; such keys are few, so the rest needn't be looked through for them.
+    again = save(rows.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.count("*").alias("n")).where("n > 1").select(k1, k2).join(kept, [k1, k2], "left_semi"), "rows-repeated")
+    kept = save(kept.join(again, [k1, k2], "left_anti"), "rows-kept")
+    drop(docs.sparkSession, scratch)
+    out = docs.where(wordless).unionByName(keyed.where(~wordless).join(kept, [k1, k2], "left_semi").select(*docs.columns))
+    if again.isEmpty():
+        return out
+    return out.unionByName(keyed.where(~wordless).join(again, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*docs.columns))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
