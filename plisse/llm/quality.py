@@ -1,7 +1,7 @@
 """Quality classifier: hashed word and character n-gram vectors, averaged, softmax output, trained by numpy SGD.
 
-A text's features are its words, the n-grams of their characters, and for each pair of neighbouring words whether they are
-the same word: a hashed pair of words tells nothing about words that training hasn't seen, their being equal does.
+A text's features are its words, the n-grams of their characters, and its pairs of neighbouring words. A pair is hashed by its
+pattern alone, whether its words are equal: most words of a new text are unknown to training, so pairs of them would be too.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, slices, table
+from .common import cache, fresh, mix, only, slices, table, trim, widened
 
 BUCKETS, DIM, GRAMS = 1 << 16, 16, (3, 4)
-#: Rows of the embedding after the hashed ones: a word that differs from the one before it, a word that repeats it.
-PAIRS, SAME_WEIGHT = 2, 4.0
-#: Bound on the labelled documents that come to the driver for training, and on their passes.
-SAMPLE_DOCS, EPOCHS, RATE = 3000, 5, 0.5
+#: Rows of the embedding after those of words and characters: patterns of pairs, of different words and of equal ones.
+PAIRS = 2
+#: Bounds on the labelled documents that the model is trained on, and on the bytes of their texts together; passes over them.
+SAMPLE_DOCS, SAMPLE_BYTES, EPOCHS, RATE = 3000, 24 << 20, 5, 0.5
 FOLDS = 5
 CUT = 0.3
 #: Distinct words whose vectors a worker remembers (68 bytes each and the word).
@@ -103,7 +103,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> tuple[np
         buckets = np.concatenate([fb[starts[u] : starts[u + 1]] for u in used]) if len(used) else np.zeros(0, np.int32)
         at, inverse = np.unique(buckets, return_inverse=True)
         weight = np.bincount(inverse, weights=np.repeat(count, size), minlength=len(at)).astype(np.float32)
-        at, weight = np.append(at, [BUCKETS, BUCKETS + 1]).astype(np.int32), np.append(weight, [SAME_WEIGHT * differ[i], SAME_WEIGHT * equal[i]]).astype(np.float32)
+        at, weight = np.append(at, [BUCKETS, BUCKETS + 1]).astype(np.int32), np.append(weight, [differ[i], equal[i]]).astype(np.float32)
         docs.append((at, weight / max(1.0, weight.sum())))
     steps, total = 0, max(1, EPOCHS * len(docs))
     for _ in range(EPOCHS):
@@ -159,43 +159,74 @@ class Scorer:
         if len(full):
             sums[full] = np.add.reduceat(self.vectors[rows], ends[:-1][full], axis=0, dtype=np.float64)
         for k, n in enumerate(repeats(codes, ends)):
-            sums += SAME_WEIGHT * n[:, None] * np.append(self.emb[BUCKETS + k], 1.0)
+            sums += n[:, None] * np.append(self.emb[BUCKETS + k], 1.0)
         z = (sums[:, :DIM] / np.maximum(1, sums[:, DIM:])) @ self.out + self.bias
         return 1 / (1 + np.exp(z[:, 0] - z[:, 1]))
 
 
-_scorers: dict[str, Scorer] = {}
+_scorers: dict[str, Scorer] = cache()
+_SHAPES = ((BUCKETS + PAIRS, DIM), (DIM, 2), (2,))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Train on at most `sample` labelled documents of the training folds (those with the smallest hashes of their ids).
+def _pack(model: tuple[np.ndarray, ...]) -> bytes:
+    return b"".join(x.astype("<f4").tobytes() for x in model)
 
-    The ids are chosen from labels alone; their documents are found by a broadcast of at most `sample` rows, so texts aren't
-    shuffled. Only texts and labels reach the model. Without any label every score is 0.5.
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
+    flat, out, at = np.frombuffer(raw, "<f4"), [], 0
+    for shape in _SHAPES:
+        n = int(np.prod(shape))
+        out.append(flat[at : at + n].reshape(shape).copy())
+        at += n
+    return tuple(out)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> bytes:
+    """The model, of a size that BUCKETS and DIM fix, trained on at most `sample` labelled documents of the training folds
+    (those with the smallest hashes of their ids) and `most_bytes` of their whole texts.
+
+    The ids are chosen from labels alone; their documents are found by a broadcast of at most `sample` ids, so texts aren't
+    shuffled. One executor's task gets the sample and trains; the driver holds the model alone. A text that would exceed the
+    bytes left is no part of the sample; none is cut. Only texts and labels reach the model. Without any label every score
+    is 0.5.
     """
-    chosen = labels.where("doc_id is not null and quality is not null").where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = labels.where("doc_id is not null and quality is not null").where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    ids = [(r.doc_id, r.quality) for r in chosen.collect()]
-    small = docs.sparkSession.createDataFrame(ids, "doc_id long, quality int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(small), "doc_id").orderBy("doc_id", "text").limit(sample).collect()
-    return train([r.text for r in rows], [int(r.quality == 1) for r in rows])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text", (F.col("quality") == 1).cast("int").alias("label"))
 
-
-def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], columns: list[str] | None = None) -> DataFrame:
-    """The given columns of docs (all of documents' unless named), and _score double. The model's size is fixed by BUCKETS and DIM."""
-    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    base = docs.select(*(columns or docs.columns))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", `_score` double"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks, left = [], [], most_bytes
+        for b in batches:
+            for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
+                size = len((text or "").encode())
+                if size <= left:
+                    texts.append(text)
+                    marks.append(label)
+                    left -= size
+        yield pa.RecordBatch.from_arrays([pa.array([_pack(train(texts, marks))], pa.binary())], names=["model"])
+        del texts, marks
+        trim()
+
+    model = rows.coalesce(1).mapInArrow(run, "model binary").first()  # none where Spark knows that there are no rows
+    return bytes(model.model) if model else _pack(train([], []))
+
+
+def score_documents(docs: DataFrame, model: bytes, name: str = "score") -> DataFrame:
+    """docs with a last column `name` double, the model's score of text."""
+    sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    names = [*docs.columns, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _scorers:
+        only(_scorers)
+        if key not in _scorers:
             _scorers.clear()
-            _scorers[name] = Scorer(sent.value)
-        own = _scorers[name]
+            _scorers[key] = Scorer(_unpack(sent.value))
+        own = _scorers[key]
         for b in slices(batches, limit=2 << 20):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.score(b.column("text")))], names=[*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.score(b.column("text")))], names=names)
 
-    return base.mapInArrow(run, schema)
+    return docs.mapInArrow(run, widened(docs, (name, "double")))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -207,12 +238,17 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     scored = score_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), fit(docs, labels))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= CUT).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs, all columns kept, without the rows that the classifier, fitted to them and labels, predicts to be of quality 0."""
-    return score_documents(docs, fit(docs, labels)).where(F.col("_score") >= CUT).drop("_score")
+    """docs, all columns kept, without the rows that the classifier, fitted to them and labels, predicts to be of quality 0.
+
+    A null or empty text is judged by the output's bias, as in score_quality(); null doc_ids, repeated rows and ties are
+    judged by their text alone; an empty table gives no rows; the score's column takes a name that docs hasn't.
+    """
+    (name,) = fresh(docs, "score")
+    return score_documents(docs, fit(docs, labels), name).where(F.col(name) >= CUT).drop(name)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
