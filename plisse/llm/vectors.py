@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,6 +23,20 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    # Scaled first, so that neither very large nor very small components overflow or vanish.
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, vectors) of a list column, for each length of vector in it."""
+    sizes = np.diff(np.asarray(column.offsets))
+    for d in np.unique(sizes):
+        rows = np.flatnonzero(sizes == d)
+        yield rows, matrix(column if len(rows) == len(sizes) else column.take(pa.array(rows)))
+
+
 def in_blocks(rows: DataFrame, key: str, sizes: DataFrame, cap: int, by: str) -> DataFrame:
     """rows with blocks (1 unless key's group, counted in sizes(key, n), exceeds cap) and block, dealt by a hash of `by`."""
     big = sizes.where(F.col("n") > cap).select(key, F.ceil(F.col("n") / cap).cast("int").alias("blocks"))
