@@ -10,24 +10,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, mix, save, table
-from .vectors import in_blocks, is_valid, matrix
+from .common import components, mix, roots, save, table
+from .vectors import by_length, in_blocks, is_valid, matrix, unit
 
 COSINE = 0.95
 #: Trees; half-width of the spill around a split, for unit vectors; vectors that a leaf should hold; vectors of the bounded
 #: sample whose medians place the splits; split directions that the nodes of one level choose from; vectors of one task.
 TREES, SPILL, LEAF, SAMPLE, POOL, CAP = 12, 0.012, 160, 8192, 4, 1500
+#: Vectors of the sample that make a median.
+FEW = 16
 SEED = 20
 
 
 class Forest:
-    """Recursive random splits. A node's direction is one of its level's pool, chosen by a hash of the node; its threshold is
-    the median of the sample that reaches it, or its last ancestor's direction's zero where no sample does. A vector within
-    SPILL of a threshold goes to both sides. The forest's size is bounded by the sample, whatever its depth."""
+    """Recursive random splits. A node's direction is one of its level's pool, chosen by a hash of the node. Its threshold is
+    the median of the sample that reaches it; where fewer than FEW do, the place on its direction of the mean of the sample
+    at its last ancestor that had so many. A vector within SPILL of a threshold goes to both sides. The forest's size is
+    bounded by the sample, whatever its depth."""
 
     def __init__(self, depth: int, dim: int, trees: int = TREES, spill: float = SPILL):
         self.depth, self.dim, self.trees, self.spill = depth, dim, trees, spill
-        self.cuts: dict[int, float] = {}
+        #: Nodes that the sample fits, ascending, their thresholds and means, by tree.
+        self.nodes = [np.zeros(0, np.int64)] * trees
+        self.cuts = [np.zeros(0)] * trees
+        self.means = [np.zeros((0, dim))] * trees
 
     def directions(self, tree: int, level: int) -> np.ndarray:
         d = np.random.default_rng((SEED, tree, level, self.dim)).standard_normal((self.dim, POOL))
@@ -35,30 +41,50 @@ class Forest:
 
     def fit(self, x: np.ndarray) -> Forest:
         for tree in range(self.trees):
-            self._walk(x, tree, learn=True)
+            nodes, cuts, means = [], [], []
+            at = np.ones(len(x), np.int64)  # the sample's nodes: paths below a leading 1, split without spill
+            for level in range(self.depth):
+                own = self._own(x @ self.directions(tree, level), np.arange(len(x)), at, tree)
+                order = np.lexsort((own, at))
+                uniq, head, n = np.unique(at[order], return_index=True, return_counts=True)
+                full = n >= FEW
+                uniq, head, n = uniq[full], head[full], n[full]
+                if not len(uniq):
+                    break
+                ranked = own[order]
+                cut = (ranked[head + (n - 1) // 2] + ranked[head + n // 2]) / 2
+                sums = np.add.reduceat(x[order], np.stack([head, head + n], 1).ravel()[: -1 if head[-1] + n[-1] == len(x) else None], axis=0)[::2]
+                nodes.append(uniq)
+                cuts.append(cut)
+                means.append(sums / n[:, None])
+                where = np.minimum(np.searchsorted(uniq, at), len(uniq) - 1)
+                inside = uniq[where] == at
+                at = np.where(inside, at << 1 | (own >= cut[where]), 0)  # 0: too few, and nothing below either
+            if nodes:
+                self.nodes[tree], self.cuts[tree], self.means[tree] = np.concatenate(nodes), np.concatenate(cuts), np.concatenate(means)
         return self
 
-    def _walk(self, x: np.ndarray, tree: int, learn: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """(row, node) of the leaves that rows reach. A node is its path below a leading 1, under the tree's number."""
-        rows, nodes = np.arange(len(x)), np.full(len(x), (tree << 40) | 1, np.int64)
-        mask = (1 << 40) - 1
+    @staticmethod
+    def _own(p: np.ndarray, rows: np.ndarray, nodes: np.ndarray, tree: int) -> np.ndarray:
+        return p[rows, (mix((nodes | tree << 40).astype(np.uint64)) % np.uint64(POOL)).astype(np.int64)]
+
+    def _walk(self, x: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, node) of the leaves that rows reach."""
+        rows, nodes, last = np.arange(len(x)), np.ones(len(x), np.int64), np.full(len(x), -1, np.int64)
+        known, cuts, means = self.nodes[tree], self.cuts[tree], self.means[tree]
         for level in range(self.depth):
-            p = x @ self.directions(tree, level)
-            own = p[rows, (mix(nodes.astype(np.uint64)) % np.uint64(POOL)).astype(np.int64)]
-            uniq, inverse = np.unique(nodes, return_inverse=True)
-            if learn:
-                order = np.argsort(inverse, kind="stable")
-                for k, part in enumerate(np.split(order, np.searchsorted(inverse[order], np.arange(1, len(uniq))))):
-                    if len(part) >= 16:
-                        self.cuts[int(uniq[k])] = float(np.median(own[part]))
-            cut = np.array([self.cuts.get(int(u), 0.0) for u in uniq])[inverse] if len(uniq) else own
+            d = self.directions(tree, level)
+            own = self._own(x @ d, rows, nodes, tree)
+            cut = np.zeros(len(rows))
+            if len(known):
+                at = np.minimum(np.searchsorted(known, nodes), len(known) - 1)
+                fitted = known[at] == nodes
+                last = np.where(fitted, at, last)
+                cut = np.where(fitted, cuts[at], self._own(means @ d, last, nodes, tree))
             left, right = own < cut + self.spill, own >= cut - self.spill
-            if learn:  # the sample is split without spill
-                left, right = own < cut, own >= cut
-            child = (nodes & mask) << 1
-            top = nodes & ~mask
-            rows, nodes = np.concatenate([rows[left], rows[right]]), np.concatenate([(top | child)[left], (top | child | 1)[right]])
-        return rows, nodes
+            child = nodes << 1
+            rows, nodes, last = np.concatenate([rows[left], rows[right]]), np.concatenate([child[left], child[right] | 1]), np.concatenate([last[left], last[right]])
+        return rows, nodes | tree << 40
 
     def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) pairs over all trees, by row and leaf."""
@@ -68,44 +94,43 @@ class Forest:
         return rows[order], leaves[order]
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    # Scaled first, so that neither very large nor very small components overflow or vanish.
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def unit_by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    return ((rows, unit(x)) for rows, x in by_length(column))
 
 
-def _by_dim(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, unit vectors) of a list column, for each length of vector in it."""
-    sizes = np.diff(np.asarray(column.offsets))
-    for d in np.unique(sizes):
-        rows = np.flatnonzero(sizes == d)
-        yield rows, unit(matrix(column.take(pa.array(rows))))
+def _codes(column: pa.Array) -> np.ndarray:
+    """The leaves of each row, ascending, filled up with the largest number."""
+    n = np.diff(np.asarray(column.offsets))
+    codes = np.full((len(n), max(1, n.max(initial=0))), np.iinfo(np.int64).max)
+    codes[np.arange(codes.shape[1]) < n[:, None]] = column.flatten().to_numpy()
+    return codes
 
 
-def _leaf_pairs(u: np.ndarray, leaves: list[np.ndarray], block: np.ndarray, here: int, weight: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def _leaf_pairs(u: np.ndarray, codes: np.ndarray, block: np.ndarray, here: int, weight: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """For the vectors of one leaf: links counted here, and the label (row) of each one's component within the leaf.
 
     Of all leaves that a pair shares, only the first counts it, so that each link counts once over all trees. If there are
-    two blocks, only pairs across them are looked at.
+    two blocks, only pairs across them are looked at. A product in single precision, with a margin for its rounding, finds
+    the pairs that can link; the cosine of these is then summed in double precision.
     """
-    n = len(u)
-    width = max(map(len, leaves))
-    codes = np.full((n, width), np.iinfo(np.int64).max)
-    for i, x in enumerate(leaves):
-        codes[i, : len(x)] = x
+    n, width = codes.shape
     count, label = np.zeros(n, np.int64), np.arange(n)
     two = block.min() != block.max()
     linked_i, linked_j = [], []
+    single = u.astype(np.float32)
     for at in range(0, n, 512):
-        near = u[at : at + 512] @ u.T >= cosine
-        i, j = np.nonzero(near)
-        i += at
+        i, j = np.nonzero(single[at : at + 512] @ single[at:].T >= np.float32(cosine - 1e-4))
+        i, j = i + at, j + at
         ok = i < j
         if two:
             ok &= block[i] != block[j]
-        linked_i.append(i[ok])
-        linked_j.append(j[ok])
-    i, j = np.concatenate(linked_i), np.concatenate(linked_j)
+        i, j = i[ok], j[ok]
+        for k in range(0, len(i), 1 << 16):
+            a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            near = np.einsum("ij,ij->i", u[a], u[b]) >= cosine
+            linked_i.append(a[near])
+            linked_j.append(b[near])
+    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (linked_i, linked_j))
     for at in range(0, len(i), 50_000):
         a, b = i[at : at + 50_000], j[at : at + 50_000]
         first = np.ones(len(a), bool)
@@ -118,15 +143,9 @@ def _leaf_pairs(u: np.ndarray, leaves: list[np.ndarray], block: np.ndarray, here
             first[before] &= ~(cb[before] == ca[before, None]).any(axis=1)
         count += np.bincount(a[first], weights=weight[b[first]], minlength=n).astype(np.int64)
         count += np.bincount(b[first], weights=weight[a[first]], minlength=n).astype(np.int64)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
+    if len(i):
+        nodes, low = roots(i, j)
+        label[nodes] = low
     return count, label
 
 
@@ -160,7 +179,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 b = batch.slice(at, 4096)
-                for rows, u in _by_dim(b.column("embedding")):
+                for rows, u in unit_by_length(b.column("embedding")):
                     forest = forests.setdefault(u.shape[1], Forest(depth, u.shape[1], trees, spill))
                     r, leaf = forest.route(u)
                     yield b, rows[r], leaf
@@ -184,13 +203,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
         reps, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
         here, p, q = (k.as_py() for k in key)
         block = t.column("block").to_numpy()
-        leaves = [np.sort(np.array(x)) for x in t.column("leaves").to_pylist()]
+        leaves = t.column("leaves")
+        codes = _codes(leaves.combine_chunks() if isinstance(leaves, pa.ChunkedArray) else leaves)
         out: list[tuple[np.ndarray, ...]] = []
-        for rows, u in _by_dim(t.column("embedding").chunk(0) if isinstance(t.column("embedding"), pa.ChunkedArray) else t.column("embedding")):
+        for rows, u in unit_by_length(t.column("embedding").chunk(0) if isinstance(t.column("embedding"), pa.ChunkedArray) else t.column("embedding")):
             blocks = block[rows]
             if p != q and blocks.min() == blocks.max():
                 continue
-            count, label = _leaf_pairs(u, [leaves[r] for r in rows], blocks if p != q else np.zeros(len(rows)), here, copies[rows], cosine)
+            count, label = _leaf_pairs(u, codes[rows], blocks if p != q else np.zeros(len(rows)), here, copies[rows], cosine)
             some = np.flatnonzero((count > 0) | (label != np.arange(len(rows))))
             out.append((reps[rows][some], count[some], reps[rows][label[some]]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from plisse.llm import embed_dedup, nearest
-from plisse.llm.embed_dedup import unit
+from plisse.llm.vectors import unit
 
 from .helpers import joined, table, vectors
 
@@ -56,18 +56,29 @@ def test_forest_finds_near_pairs_in_common_leaves():
     assert near.sum() > 200 and met[near].mean() > 0.995
 
 
+def test_forest_splits_below_its_sample():
+    """Deeper than the sample has medians for, a cluster far from the origin is still halved, not sent to one side."""
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(64) * 3
+    x = unit(centre + rng.standard_normal((20_000, 64)))
+    forest = embed_dedup.Forest(8, 64, trees=2, spill=0.0).fit(x[:300])
+    _, leaves = forest.route(x)
+    sizes = np.unique(leaves, return_counts=True)[1]
+    assert sizes.max() < 20 * 20_000 / 256
+
+
 def brute(x, q, k=10):
     d = np.sqrt(((x - x[q]) ** 2).sum(1))
     d[q] = np.inf
     return np.lexsort((np.arange(len(x)), d))[:k], d
 
 
-@pytest.mark.parametrize("cap", [4000, 30])
-def test_nearest(spark, monkeypatch, cap):
-    monkeypatch.setattr(nearest, "CAP", cap)
+@pytest.mark.parametrize(("cap", "crowded"), [(4000, 1 << 40), (7, 1 << 40), (4000, 1)])
+def test_nearest(spark, cap, crowded):
+    """Also with buckets, of vectors and of queries, cut into blocks, and with hashes of two rotations."""
     x = vectors(n=900)
     got = {}
-    for r in nearest.nearest(table(spark, [(i, v.tolist()) for i, v in enumerate(x)] + ODD, SCHEMA)).collect():
+    for r in nearest.nearest(table(spark, [(i, v.tolist()) for i, v in enumerate(x)] + ODD, SCHEMA), cap=cap, crowded=crowded).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert set(got) == set(range(0, 900, 100))
     hits = 0
@@ -95,6 +106,40 @@ def test_rotation_keeps_lengths_and_signs():
     x = vectors(n=50)
     y = index.rotate(x, 0)
     assert np.allclose(np.linalg.norm(y, axis=1), np.linalg.norm(x, axis=1)) and y.shape[1] == 32
-    b = index.buckets(x, 0, 3)
     both = np.concatenate([y, -y], axis=1)
-    assert (b[:, 0] == both.argmax(1)).all() and (np.sort(both, axis=1)[:, ::-1][:, :3] == np.take_along_axis(both, b, 1)).all()
+    assert (index.place(x, 0) == both.argmax(1)).all()
+    b = index.probe(x, 0, 3)
+    assert (np.sort(both, axis=1)[:, -3:] == np.sort(np.take_along_axis(both, b, 1), axis=1)).all()
+    pairs = nearest.CrossPolytope(24, 2)
+    first, second = (np.concatenate([z, -z], axis=1).argmax(1) for z in (pairs.rotate(x, 1, 0), pairs.rotate(x, 1, 1)))
+    assert (pairs.place(x, 1) == first * 64 + second).all() and (pairs.probe(x, 1, 1)[:, 0] == pairs.place(x, 1)).all()
+
+
+@pytest.mark.parametrize("dim", [64, 256])
+def test_chosen_probes_reach_the_recall_on_other_vectors(dim):
+    """In many dimensions too, and with lengths that vary; the plan is made on one sample and measured on another."""
+    rng = np.random.default_rng(dim)
+    x, y = (rng.standard_normal((3000, dim)) * rng.lognormal(0, 0.5, (3000, 1)) for _ in range(2))
+    index, tables, probes = nearest.choose(x, 1 << 20, 1 << 10)
+    assert tables >= nearest.LEAST and probes <= index.buckets
+    trials = np.arange(0, 3000, 30)
+    d2 = (y[trials] ** 2).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * y[trials] @ y.T
+    d2[np.arange(100), trials] = np.inf
+    true = np.argpartition(d2, 10, axis=1)[:, :10]
+    met = np.zeros(true.shape, bool)
+    for t in range(tables):
+        place, asked = index.place(unit(y), t), index.probe(unit(y[trials]), t, probes)
+        met |= (place[true][:, :, None] == asked[:, None, :]).any(axis=2)
+    assert met.mean() >= 0.9
+
+
+def test_nearest_of_vectors_of_other_lengths(spark):
+    """Those of a rarer length have neighbours too: all of their own length."""
+    x = vectors(n=300)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(10_000 + 20 * i, [float(i), 1.0, -1.0]) for i in range(12)]
+    got = {}
+    for r in nearest.nearest(table(spark, rows, SCHEMA)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == {0, 100, 200, 10_000, 10_100, 10_200}
+    assert [(v, s) for _, v, s in sorted(got[10_000])] == [(10_000 + 20 * i, float(i)) for i in range(1, 11)]
+    assert all(len(v) == 10 for v in got.values())
