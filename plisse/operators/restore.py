@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plisse.functions.hashes import restore_id
+from plisse.functions.tables import materialize
 from plisse.functions.text import valid_restore_id
 from plisse.plans.options import STORE_BYTES, STORE_TTL_SECONDS
 
@@ -29,9 +29,10 @@ def insert(store: DataFrame, new: DataFrame, now: Column, ttl_seconds: int = STO
     fits = new.where((F.col("cost") <= max_bytes) & F.lit(ttl_seconds > 0))
     both = store.where(~_expired(now, ttl_seconds)).unionByName(fits)
     latest = both.groupBy("restore_id").agg(F.max_by(F.struct("original", "cost", "stored_at", "seq"), "seq").alias("e")).select("restore_id", "e.*")
-    latest = latest.persist(StorageLevel.MEMORY_AND_DISK)
+    latest = materialize(latest, "store-latest")
     # Running sums in two steps: of the sorted partitions, one row each, and within each; originals are joined to what stays.
-    s = latest.select("restore_id", "seq", "cost").orderBy(F.desc("seq")).withColumn("_p", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    s = latest.select("restore_id", "seq", "cost").orderBy(F.desc("seq")).withColumn("_p", F.spark_partition_id())
+    s = materialize(s, "store-order")
     ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     before = s.groupBy("_p").agg(F.sum("cost").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(ahead), F.lit(0))).drop("_c")
     newest = Window.partitionBy("_p").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
