@@ -1,7 +1,8 @@
 """Token ids in seekable files: independent zstandard frames, a trailing seek table, a checksum for each frame.
 
 A file is a sequence of zstandard frames, each with its content checksum. A frame holds whole documents: uint32 number of
-documents n, n int64 document ids, n uint32 token counts, then the ids (uint16 where the vocabulary fits, else uint32; all
+documents n, uint32 number of these without an id, which come first, n int64 document ids (0 where there is none; the least
+number stands for it in the index), n uint32 token counts, then the ids (uint16 where the vocabulary fits, else uint32; all
 little-endian). A document larger than the frame target has a frame of its own. Two skippable frames end the file: the
 index (first and last document id and token count of each frame) and the seek table of the public seekable format
 (compressed size, content size and the low 32 bits of the content's XXH64 for each frame, then a 9-byte footer). A reader
@@ -27,6 +28,7 @@ from .common import save, shared_path, shuffle_parts, slices, table
 
 #: Fixed values of the public seekable format.
 SKIPPABLE_SEEK, SKIPPABLE_INDEX, SEEKABLE_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
+NO_ID = -(1 << 63)
 FRAME_BYTES = 1 << 18
 END_ID = 1
 
@@ -41,14 +43,15 @@ class FrameWriter:
         self.sink, self.kind = sink, np.dtype("<u4" if wide else "<u2")
         self.press = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
         self.digest = xxhash.xxh64_intdigest
-        self.docs: list[int] = []
+        self.docs: list[int | None] = []
         self.sizes: list[int] = []
         self.parts: list[bytes] = []
         self.held = 0
         self.frames: list[tuple[int, int, int]] = []
         self.index: list[tuple[int, int, int]] = []
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        """Documents come in the order of their ids, those without one first."""
         part = ids.astype(self.kind).tobytes()
         if self.docs and self.held + len(part) > FRAME_BYTES:
             self.flush()
@@ -60,11 +63,12 @@ class FrameWriter:
     def flush(self) -> None:
         if not self.docs:
             return
-        body = struct.pack("<I", len(self.docs)) + np.array(self.docs, "<i8").tobytes() + np.array(self.sizes, "<u4").tobytes() + b"".join(self.parts)
+        body = struct.pack("<II", len(self.docs), self.docs.count(None)) + np.array([d or 0 for d in self.docs], "<i8").tobytes() + np.array(self.sizes, "<u4").tobytes() + b"".join(self.parts)
         frame = self.press.compress(body)
         self.sink.write(frame)
         self.frames.append((len(frame), len(body), self.digest(body) & 0xFFFFFFFF))
-        self.index.append((self.docs[0], self.docs[-1], sum(self.sizes)))
+        first, last = (NO_ID if d is None else d for d in (self.docs[0], self.docs[-1]))
+        self.index.append((first, last, sum(self.sizes)))
         self.docs, self.sizes, self.parts, self.held = [], [], [], 0
 
     def close(self) -> None:
@@ -96,7 +100,7 @@ class FrameReader:
         self.index = list(struct.iter_unpack("<qqQ", source.read(24 * m)))
         self.starts = np.concatenate(([0], np.cumsum([f[0] for f in self.frames]))).astype(np.int64)
 
-    def frame(self, k: int) -> list[tuple[int, np.ndarray]]:
+    def frame(self, k: int) -> list[tuple[int | None, np.ndarray]]:
         import xxhash
         import zstandard
 
@@ -105,14 +109,14 @@ class FrameReader:
         body = zstandard.ZstdDecompressor().decompress(self.source.read(packed), max_output_size=size)
         if len(body) != size or xxhash.xxh64_intdigest(body) & 0xFFFFFFFF != check:
             raise ValueError(f"frame {k} doesn't match its checksum")
-        (n,) = struct.unpack_from("<I", body)
-        docs = np.frombuffer(body, "<i8", n, 4)
-        sizes = np.frombuffer(body, "<u4", n, 4 + 8 * n).astype(np.int64)
-        ids = np.frombuffer(body, self.kind, -1, 4 + 12 * n)
+        n, none = struct.unpack_from("<II", body)
+        docs = [None] * none + np.frombuffer(body, "<i8", n, 8)[none:].tolist()
+        sizes = np.frombuffer(body, "<u4", n, 8 + 8 * n).astype(np.int64)
+        ids = np.frombuffer(body, self.kind, -1, 8 + 12 * n)
         ends = np.concatenate(([0], np.cumsum(sizes)))
-        return [(int(d), ids[ends[i] : ends[i + 1]]) for i, d in enumerate(docs)]
+        return [(d, ids[ends[i] : ends[i + 1]]) for i, d in enumerate(docs)]
 
-    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+    def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
         for k in range(len(self.frames)):
             yield from self.frame(k)
 
@@ -131,11 +135,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = word_tokens.TOKE
 
     Returns a small table, one row a file that has documents: (part, file, n_docs, n_tokens). The texts are dealt by ranges
     of doc_id and sorted within; a file is one task's. A task writes under a name of its own and renames it when done, so a
-    lost executor or a second attempt leaves no half file. Rows of equal doc_id are ordered by text; a null doc_id is left
-    out; a null text is empty and holds end_id alone.
+    lost executor or a second attempt leaves no half file. Rows of equal doc_id are ordered by text; those without a doc_id
+    come first, dealt by the beginnings of their texts; a null text is empty and holds end_id alone; an empty table gives no
+    files; other columns are ignored.
     """
     spark = docs.sparkSession
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").repartitionByRange(shuffle_parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.withColumn("least", F.when(F.col("doc_id").isNull(), F.substring("text", 1, 256)))
+    dealt = texts.repartitionByRange(shuffle_parts(spark), "doc_id", "least").sortWithinPartitions("doc_id", "least", "text").drop("least")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokens.encoder(tokenizer)
