@@ -88,11 +88,12 @@ class Counting(io.BytesIO):
         return out
 
 
-def test_frames_round_trip_and_only_what_is_asked_for_is_read():
+@pytest.mark.parametrize("wide", [False, True])
+def test_frames_round_trip_and_only_what_is_asked_for_is_read(wide):
     rng = np.random.default_rng(2)
-    docs = [(i * 2, rng.integers(0, 40_000, rng.integers(0, 3000))) for i in range(800)]
+    docs = [(i * 2 if i >= 3 else None, rng.integers(0, 40_000 << 16 * wide, rng.integers(0, 3000))) for i in range(800)]
     sink = io.BytesIO()
-    writer = token_files.FrameWriter(sink, wide=False)
+    writer = token_files.FrameWriter(sink, wide=wide)
     for d, ids in docs:
         writer.add(d, ids)
     writer.close()
@@ -132,7 +133,9 @@ def test_token_files_of_odd_input(spark):
     folder = shared_path(spark, "test-tokens")
     files = token_files.manifest(token_files.write_tokens(df, folder))
     got = token_files.read_tokens(spark, folder, files).collect()
-    assert sorted(r.doc_id for r in got) == sorted(d for d, _ in rows if d is not None)
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(d) for d, _ in rows)
+    first = sorted(got, key=lambda r: (r.start, r.n_tokens))[:2]
+    assert [(r.doc_id, r.start) for r in first] == [(None, 0), (None, 1)] and first[0].n_tokens == 1  # the null text before the other
     empty = shared_path(spark, "test-tokens")
     assert token_files.read_tokens(spark, empty, token_files.manifest(token_files.write_tokens(table(spark, []), empty))).isEmpty()
 
@@ -158,9 +161,7 @@ def check_packing(rows, got, word_bpe, window=4096):
     return fills
 
 
-@pytest.mark.parametrize("bound", [2048, 3])
-def test_packing(spark, word_bpe, monkeypatch, bound):
-    monkeypatch.setattr(packing, "MAX_OPEN", bound)
+def test_packing(spark, word_bpe):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gam ma", "42"]) for _ in range(rng.choice([0, 5, 60, 700, 9000])))) for i in range(120)] + [(900, None)]
     fills = check_packing(rows, packing.pack(table(spark, rows, parts=2)).collect(), word_bpe)
@@ -168,25 +169,74 @@ def test_packing(spark, word_bpe, monkeypatch, bound):
     assert packing.pack(table(spark, [])).isEmpty()
 
 
-def test_sum_of_squares_places_where_the_sum_is_least():
+def squares(level, window):
+    return int((level[1:window] ** 2).sum())
+
+
+@pytest.mark.parametrize("most", [10_000, 6])
+def test_sum_of_squares_places_where_the_sum_is_least(most):
+    """By trying every level; with few windows allowed pieces are cut where that leaves the least sum, and none is lost."""
     rng = random.Random(6)
-    packer = packing.SumOfSquares(50)
-    for k in range(600):
-        size, before = rng.randint(1, 50), packer.level.copy()
-        full = packer.place(k, size)
-        options = []
-        for h in range(51 - size):
-            if h == 0 or before[h]:
-                n = before.copy()
-                n[h] -= h > 0
-                n[h + size] += h + size < 50
-                options.append(int((n[1:50] ** 2).sum()))
-        assert int((packer.level[1:50] ** 2).sum()) == min(options)
-        assert full is None or sum(s for _, s in full) == 50
-    assert sum(s for p in packer.drain() for _, s in p) < 600 * 50
-
-
-def test_packing_of_odd_input(spark):
+    packer, window = packing.SumOfSquares(50, most), 50
+    sizes, placed, cuts = [rng.randint(1, 50) for _ in range(600)], {}, 0
+    for k, size in enumerate(sizes):
+        before = packer.level.copy()
+        was = int(before[1:window].sum())
+        full = packer.place(k, 0, size)
+        whole, cut = [], []
+        for h in range(window):
+            if h and not before[h]:
+                continue
+            n = before.copy()
+            n[h] -= h > 0
+            if h + size <= window:
+                n[h + size] += h + size < window
+                if h or was < most or size == window:
+                    whole.append(squares(n, window))
+            elif was >= most:
+                n[h + size - window] += 1
+                cut.append(squares(n, window))
+        # At the bound a piece is cut only where a new window is better than any open one, or no open one has room.
+        new = before.copy()
+        new[size] += size < window
+        best = min(whole) if whole else None
+        if cut and (best is None or best > squares(new, window)):
+            cuts += 1
+            best = min(cut)
+        assert squares(packer.level, window) == best and packer.count == int(packer.level[1:window].sum()) <= most
+        assert full is None or sum(s for _, _, s in full) == window
+        for d, start, s in full or ():
+            placed.setdefault(d, []).append((start, s))
+    for pieces in packer.drain():
+        for d, start, s in pieces:
+            placed.setdefault(d, []).append((start, s))
+    assert (cuts > 20) == (most == 6)
+    for k, size in enumerate(sizes):
+        at = 0
+        for start, s in sorted(placed[k]):
+            assert start == at
+            at += s
+        assert at == size
+
+
+def test_packing_places_most_by_the_sum_of_squares(spark, word_bpe, monkeypatch):
+    """Of the sequences of one task, those poured together at the end are fewer than the windows that may be open."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randint(50, 1500)))) for i in range(900)]
+    got = packing.pack(table(spark, rows, parts=1)).collect()
+    check_packing(rows, got, word_bpe)
+    pieces = {}
+    for r in got:
+        pieces.setdefault(r.doc_id, []).append(r)
+    assert len({r.sequence_id for r in got}) > 3 * packing.OPEN
+    assert sum(len(p) == 1 for p in pieces.values()) > 450
+
+
+def test_packing_of_odd_input(spark, word_bpe):
     rows, df = hostile(spark)
     got = packing.pack(df).collect()
-    assert sum(r.length for r in got if r.doc_id is None) == sum(r.length for r in got if r.doc_id is None) and {str(r.doc_id) for r in got} == {str(d) for d, _ in rows}
+    assert {str(r.doc_id) for r in got} == {str(d) for d, _ in rows}
+    want = sorted((str(d), len(word_bpe.encode(t or "", add_special_tokens=False).ids) + 1) for d, t in rows)
+    # Each row begins once, whole or cut, and its lengths add up to its ids.
+    assert sorted((str(r.doc_id), r.doc_tokens) for r in got if r.start == 0) == want
+    assert sum(r.length for r in got) == sum(n for _, n in want)
