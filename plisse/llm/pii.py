@@ -13,13 +13,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, slices, table
+from .common import fresh, only, save, slices, table, tidy, widened
 from .quality import split_words
 
 #: Fixed patterns and kinds of the contract, in its order.
 KINDS = ("email", "ip", "card", "phone", "term")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match begins where its digits do, since greedy ones end at the end of theirs; said here, or long runs would be tried digit by digit.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -112,11 +113,17 @@ SPAN = "array<struct<start:int,kind:int,end:int>>"
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
 
+#: What find() adds to its input; where a column has the name already, underscores go before it.
+INNER = ("_row", "_base", "_values", "_spans")
+
+
 def locate(docs: DataFrame) -> DataFrame:
-    """docs with _row long, _base (the fixed spans) and _values (the distinct keys of their values)."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", _row long, _base {SPAN}, _values array<long>"
+    """docs with INNER's row long, base (the fixed spans) and values (the distinct keys of their values)."""
+    row_name, base, held, _ = fresh(docs, *INNER)
+    names = [*docs.columns, row_name, base, held]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         row = TaskContext.get().partitionId() << 40
         for b in slices(batches):
             spans, values = [], []
@@ -126,12 +133,12 @@ def locate(docs: DataFrame) -> DataFrame:
                 values.append(list({key64(f"{KINDS[kind]}:{text[start:end].lower()}") for start, kind, end in s}))
             rows = pa.array(np.arange(row, row + b.num_rows))
             row += b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, rows, pa.array(spans, SPANS), pa.array(values, pa.list_(pa.int64()))], names=[*b.schema.names, "_row", "_base", "_values"])
+            yield pa.RecordBatch.from_arrays([*b.columns, rows, pa.array(spans, SPANS), pa.array(values, pa.list_(pa.int64()))], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, widened(docs, (row_name, "long"), (base, SPAN), (held, "array<long>")))
 
 
-def term_counts(docs: DataFrame, wanted: list[int] | None) -> DataFrame:
+def term_counts(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
     """(term, n): in how many documents each term stands, over whole texts; only the wanted terms, or all where it is null.
 
     Each task adds up its slices before the shuffle, flushing at a bounded number of terms.
@@ -141,7 +148,8 @@ def term_counts(docs: DataFrame, wanted: list[int] | None) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = None if wanted is None else np.sort(np.array(wanted, np.int64))
+        only()
+        keep = None if wanted is None else np.sort(wanted)
         known: dict[str, tuple[int, ...]] = {}
         held: dict[int, int] = {}
         for b in slices(batches, limit=2 << 20):
@@ -175,18 +183,18 @@ def term_counts(docs: DataFrame, wanted: list[int] | None) -> DataFrame:
         if held:
             yield send(held)
 
-    return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """The given columns of each row, and its terms as an iterator of (term, start, end)."""
     for b in slices(batches):
-        for text, base, *rest in zip(b.column("text").to_pylist(), b.column("_base").to_pylist(), *(b.column(c).to_pylist() for c in columns), strict=True):
+        for text, base, *rest in zip(b.column("text").to_pylist(), b.column("base").to_pylist(), *(b.column(c).to_pylist() for c in columns), strict=True):
             yield *rest, terms_beside(text or "", [(x["start"], x["end"]) for x in base])
 
 
 def pair_counts(asked: DataFrame) -> DataFrame:
-    """(value, term, n): in how many of the rows (text, _base, _held) a held value and a term stand; each task adds up first."""
+    """(value, term, n): in how many of the rows (text, base, held) a held value and a term stand; each task adds up first."""
 
     def send(held: dict[int, Counter]) -> pa.RecordBatch:
         value = np.repeat(np.array(list(held), np.int64), [len(c) for c in held.values()])
@@ -194,7 +202,7 @@ def pair_counts(asked: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held, size = Keys(), {}, 0
-        for values, words in _rows(batches, "_held"):
+        for values, words in _rows(batches, "held"):
             terms = {keys[x[0]] for x in words}
             for v in values:
                 c = held.setdefault(v, Counter())
@@ -207,77 +215,95 @@ def pair_counts(asked: DataFrame) -> DataFrame:
         if held:
             yield send(held)
 
-    return asked.select("text", "_base", "_held").mapInArrow(run, "value long, term long, n long").groupBy("value", "term").agg(F.sum("n").alias("n_both"))
+    return asked.select("text", "base", "held").mapInArrow(tidy(run), "value long, term long, n long").groupBy("value", "term").agg(F.sum("n").alias("n_both"))
 
 
 def disclosing(located: DataFrame, docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
     """(value, term) pairs whose pointwise mutual information reaches `disclosed` of the value's information content.
 
-    N documents; c(v), c(t), c(t,v) documents with the value, the term, both, wherever in the text they stand. The value's
-    information content is log2(N / c(v)); the term reveals log2(N c(t,v) / (c(v) c(t))) of it. Terms seen with a value in
-    fewer than `support` documents prove nothing, so only documents of values that occur in as many are expanded. Counts are
-    over all documents.
+    located has text, row, base and values. N documents; c(v), c(t), c(t,v) documents with the value, the term, both, wherever
+    in the text they stand. The value's information content is log2(N / c(v)); the term reveals log2(N c(t,v) / (c(v) c(t)))
+    of it. Terms seen with a value in fewer than `support` documents prove nothing, so only documents of values that occur in
+    as many are expanded. Counts are over all documents. Up to BROADCAST_TERMS, terms go to all tasks as an array, and only
+    they are counted; beyond it all terms are. The result is the same.
     """
-    holds = located.where(F.size("_values") > 0)
-    each = holds.select("_row", F.explode("_values").alias("value"))
+    holds = located.where(F.size("values") > 0)
+    each = holds.select("row", F.explode("values").alias("value"))
     total = located.count()
     values = save(each.groupBy("value").agg(F.count("*").alias("n_value")).where((F.col("n_value") >= support) & (F.col("n_value") < total)), "pii-values")
-    held = each.join(values, "value").groupBy("_row").agg(F.collect_list("value").alias("_held"))  # within one document
-    pairs = save(pair_counts(holds.join(held, "_row")).where(F.col("n_both") >= support), "pii-pairs")
+    held = each.join(values, "value").groupBy("row").agg(F.collect_list("value").alias("held"))  # within one document
+    pairs = save(pair_counts(holds.join(held, "row")).where(F.col("n_both") >= support), "pii-pairs")
     terms = save(pairs.select("term").distinct(), "pii-terms")
     few = terms.count() <= BROADCAST_TERMS
-    counts = term_counts(docs, [r.term for r in terms.collect()] if few else None)
+    counts = term_counts(docs, _column(terms, "term") if few else None)
     n = F.lit(float(max(1, total)))
     content = F.log2(n / F.col("n_value"))
     revealed = F.log2(n * F.col("n_both") / (F.col("n_value") * F.greatest("n", "n_both")))
     return pairs.join(values, "value").join(counts, "term").where(revealed >= disclosed * content).select("value", "term")
 
 
-def find(docs: DataFrame, disclosed: float = DISCLOSED, carry: bool = True) -> DataFrame:
-    """docs(doc_id, text, ...) with _base and _spans: the spans of the fixed patterns, and these with every place of the terms that disclose a value of the document, sorted by start and kind.
+def _column(df: DataFrame, name: str) -> np.ndarray:
+    """A column of a table of at most BROADCAST_TERMS rows, as an array."""
+    return df.select(name).toArrow().column(0).to_numpy()
+
 
-    Offsets are code points, the end exclusive. A null text is empty. The table of located spans is written once; only rows
-    with a value are looked through for terms, the others pass by. Where few pairs disclose they are sent to every task, else
-    each document's own terms and values are joined to them. Without carry that table has only the texts with a value, and
-    the result none.
+def _of(pairs: tuple[np.ndarray, np.ndarray], value: int) -> list[int]:
+    """The terms of a value, from pairs sorted by value."""
+    return pairs[1][np.searchsorted(pairs[0], value, "left") : np.searchsorted(pairs[0], value, "right")].tolist()
+
+
+def find(docs: DataFrame, disclosed: float = DISCLOSED, carry: bool = True) -> DataFrame:
+    """docs(doc_id, text, ...) with INNER's base and spans: the spans of the fixed patterns, and these with every place of the
+    terms that disclose a value of the document, sorted by start and kind.
+
+    Offsets are code points, the end exclusive. A null text is empty, an empty table gives no rows; null doc_ids and repeated
+    rows are searched like any other; columns may have any names. The table of located spans is written once; only rows with
+    a value are looked through for terms, the others pass by. Up to BROADCAST_TERMS, pairs that disclose are sent to every
+    task as arrays, beyond it each document's own terms and values are joined to them, with the same result. Without carry
+    that table has only the texts with a value, and the result none.
     """
+    row_name, base_name, values_name, spans_name = fresh(docs, *INNER)
     located = locate(docs)
-    located = save(located if carry else located.withColumn("text", F.when(F.size("_values") > 0, F.col("text"))), "pii-spans")
-    flagged = save(disclosing(located, docs, disclosed), "pii-disclosing")
-    holds = located.where(F.size("_values") > 0)
-    few: dict[int, list[int]] | None = None
+    some = F.size(values_name) > 0
+    located = save(located if carry else located.withColumn("text", F.when(some, F.col("text"))), "pii-spans")
+    core = located.select("text", F.col(row_name).alias("row"), F.col(base_name).alias("base"), F.col(values_name).alias("values"))
+    flagged = save(disclosing(core, docs, disclosed), "pii-disclosing")
+    holds = located.where(some)
+    names = [*located.columns, spans_name]
+    pairs: tuple[np.ndarray, np.ndarray] | None = None
     if flagged.count() <= BROADCAST_TERMS:
-        few = {}
-        for r in flagged.collect():
-            few.setdefault(r.value, []).append(r.term)
+        found = flagged.toArrow()  # one row a pair, so that the columns belong together
+        value, term = (found.column(c).to_numpy() for c in ("value", "term"))
+        order = np.argsort(value, kind="stable")
+        pairs = value[order], term[order]
     else:
 
         def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = Keys()
-            for row, values, words in _rows(batches, "_row", "_values"):
+            for row, values, words in _rows(batches, "row", "values"):
                 terms = np.fromiter({keys[x[0]] for x in words}, np.int64)
                 for v in values:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), row)), pa.array(np.full(len(terms), v)), pa.array(terms)], names=["_row", "value", "term"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), row)), pa.array(np.full(len(terms), v)), pa.array(terms)], names=["row", "value", "term"])
 
-        own = holds.select("_row", "text", "_base", "_values").mapInArrow(triples, "_row long, value long, term long")
-        own = own.join(flagged, ["value", "term"]).groupBy("_row").agg(F.collect_set("term").alias("_terms"))  # within one document
-        holds = holds.join(own, "_row", "left").withColumn("_values", F.coalesce("_terms", F.array().cast("array<long>"))).drop("_terms").select(*located.columns)
+        own = core.where(F.size("values") > 0).mapInArrow(triples, "row long, value long, term long")
+        own = own.join(flagged, ["value", "term"]).groupBy(F.col("row").alias(row_name)).agg(F.collect_set("term").alias(spans_name))  # within one document
+        terms = F.coalesce(spans_name, F.array().cast("array<long>"))
+        holds = holds.join(own, row_name, "left").withColumn(values_name, terms).drop(spans_name).select(*located.columns)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = Keys()
         for b in slices(batches):
             out = []
-            for text, base, values in zip(b.column("text").to_pylist(), b.column("_base").to_pylist(), b.column("_values").to_pylist(), strict=True):
-                terms = set(values) if few is None else {t for v in values for t in few.get(v, ())}
+            for text, base, values in zip(b.column("text").to_pylist(), b.column(base_name).to_pylist(), b.column(values_name).to_pylist(), strict=True):
+                terms = set(values) if pairs is None else {t for v in values for t in _of(pairs, v)}
                 if terms:
                     hits = terms_beside(text, [(x["start"], x["end"]) for x in base])
                     base = sorted(base + [{"start": s, "kind": len(KINDS) - 1, "end": e} for w, s, e in hits if keys[w] in terms], key=lambda x: (x["start"], x["kind"], x["end"]))
                 out.append(base)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, SPANS)], names=[*b.schema.names, "_spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, SPANS)], names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in located.schema) + f", _spans {SPAN}"
-    plain = located.where(F.size("_values") == 0).withColumn("_spans", F.col("_base"))
-    found = holds.mapInArrow(mark, schema).unionByName(plain).drop("_row", "_values")
+    plain = located.where(~some).withColumn(spans_name, F.col(base_name))
+    found = holds.mapInArrow(mark, widened(located, (spans_name, SPAN))).unionByName(plain).drop(row_name, values_name)
     return found if carry else found.drop("text")
 
 
@@ -287,7 +313,7 @@ def _text(column: str) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns of find()."""
+    """The contract's columns of find(), given docs(doc_id, text)."""
     n = [F.size(F.array_remove(F.transform("_base", lambda x: x["kind"]), k)) for k in range(4)]
     n = [(F.size("_base") - left).cast("long").alias(f"n_{KINDS[k]}") for k, left in enumerate(n)]
     return found.select("doc_id", *n, F.sha2(_text("_base").cast("binary"), 256).alias("base_sha256"), _text("_spans").alias("spans"))
@@ -297,16 +323,16 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...), all columns kept, each span of find() replaced by its kind in angle brackets.
 
     Values are generalised to their kind, disclosing terms removed the same way. Overlapping spans become one, of the kind of
-    the first. Rows, nulls, repeats and the order of columns stay.
+    the first. Rows, null and empty texts, repeats and the order of columns stay; an empty table gives no rows; columns may
+    have any names.
     """
-    names = docs.columns
+    names, column = docs.columns, fresh(docs, *INNER)[3]
     found = find(docs)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts = b.column("text").to_pylist()
-            for i, spans in enumerate(b.column("_spans").to_pylist()):
+            for i, spans in enumerate(b.column(column).to_pylist()):
                 if spans:
                     out, at, text = [], 0, texts[i]
                     for s in spans:
@@ -316,7 +342,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
                     texts[i] = "".join(out) + text[at:]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
 
-    return found.select(*names, "_spans").mapInArrow(run, schema)
+    return found.select(*names, column).mapInArrow(run, docs.schema)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
