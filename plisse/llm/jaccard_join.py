@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import components, drop, fresh, mix, only, save, slices, table, text_buffer
+from .common import components, drop, fresh, mix, only, save, slices, table, text_buffer, tidy
 from .suffix_dedup import Rolling
 
 WORDS = 5
@@ -288,7 +288,7 @@ def prefix_sets(docs: DataFrame) -> DataFrame:
     document has, and, unless its prefix consists of those, the others in the common order."""
     parts = exchange.ranges(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(k.alias(n) for k, n in zip(_keys(), ("k1", "k2"), strict=True)))
-    counted = exchange.deal(texts.mapInArrow(_index(parts), exchange.SCHEMA), _count(parts), exchange.SCHEMA)
+    counted = exchange.deal(texts.mapInArrow(tidy(_index(parts)), exchange.SCHEMA), _count(parts), exchange.SCHEMA)
     return exchange.deal(counted, _gather, SETS)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import mix, save, shuffle_parts, slices, spread, table, text_buffer
+from .common import cache, fresh, mix, only, save, shuffle_parts, slices, spread, table, text_buffer, tidy
 
 MATCH, SEED = 100, 32
 #: Equal windows agree in at least so many bytes to one side of their seed.
@@ -32,26 +32,28 @@ HALF = (MATCH - SEED) // 2
 #: of such a seed follow them, all their windows, once its range has been told of it.
 MANY = 256
 #: Entries that a map task gathers before it sends them; bytes of text, and of window starts, looked at together.
-GATHER, CHUNK = 1_000_000, 1 << 20
+GATHER, CHUNK = 400_000, 1 << 19
 _U = np.uint64
 #: The bits of a seed's hash that entries carry to their range.
 _SENT = _U((1 << 48) - 1)
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _CODE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = cache()
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n."""
+    """Powers of the base and of its inverse modulo 2**64, at least n. Those for a very long text aren't kept for the next."""
     size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
+    have = next(iter(_powers), 0)
+    if have < size or have > max(size, 4 * CHUNK):
+        _powers.clear()
         out = []
         for base in (_BASE, _INVERSE):
             p = np.full(size, base, np.uint64)
             p[0] = 1
             out.append(np.cumprod(p, dtype=np.uint64))
         _powers[size] = tuple(out)
-    return _powers[size]
+    return next(iter(_powers.values()))
 
 
 class Rolling:
@@ -359,14 +361,16 @@ def _window_stretches(run: Run) -> pa.RecordBatch:
     return _merged(run.columns[2], start, start + MATCH)
 
 
-def _ordered(docs: DataFrame) -> DataFrame:
-    """docs with _ord, a unique number in the order of doc_id: doc_id itself, or where that repeats or is null a number in the
-    order of doc_id (null first) and text."""
+def _ordered(docs: DataFrame, order: str) -> DataFrame:
+    """docs with a unique number `order` in the order of doc_id: doc_id itself, or where that repeats or is null a number in
+    the order of doc_id (null first) and text. Rows of one doc_id, or of none, are dealt by their texts too."""
     ids = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("present")).first()
     if ids.n == ids.present and docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return docs.withColumn("_ord", F.col("doc_id").cast("long"))
-    dealt = docs.repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return save(dealt.withColumn("_ord", F.monotonically_increasing_id()), "ordered-docs")
+        return docs.withColumn(order, F.col("doc_id").cast("long"))
+    (least,) = fresh(docs, "least")
+    dealt = docs.withColumn(least, F.col("text").cast("string").substr(1, 256))  # bounds of ranges needn't hold whole texts
+    dealt = dealt.repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id", least).sortWithinPartitions("doc_id", least, "text").drop(least)
+    return save(dealt.withColumn(order, F.monotonically_increasing_id()), "ordered-docs")
 
 
 def repeats(docs: DataFrame, many: int | None = None, gather: int | None = None) -> DataFrame:
@@ -379,6 +383,7 @@ def repeats(docs: DataFrame, many: int | None = None, gather: int | None = None)
     texts = docs.select("_ord", F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= MATCH)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(_powers)
         family, later, held = LevelFamily(), [], 0
         for b in slices(batches, limit=CHUNK):
             data, ends = text_buffer(b.column("text"))
@@ -390,11 +395,12 @@ def repeats(docs: DataFrame, many: int | None = None, gather: int | None = None)
                 family, later, held = LevelFamily(), [], 0
         yield from _send_entries(family, parts, later, many)
 
-    found = save(exchange.deal(texts.mapInArrow(index, exchange.SCHEMA), _settle, FOUND), "suffix-round1")
+    found = save(exchange.deal(texts.mapInArrow(tidy(index), exchange.SCHEMA), _settle, FOUND), "suffix-round1")
     rims = found.where("rim").groupBy("doc").agg(F.collect_list(F.struct("seed", "start", "stop")).alias("rims"))  # one document's
     asked = texts.join(rims, texts["_ord"] == rims["doc"]).select("_ord", "text", "rims")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(_powers)
         family, later, held = LevelFamily(), [], 0
         for b in slices(batches, limit=CHUNK):
             data, ends = text_buffer(b.column("text"))
@@ -425,7 +431,7 @@ def repeats(docs: DataFrame, many: int | None = None, gather: int | None = None)
         if rows:
             yield exchange.to_batch(rows)
 
-    second = exchange.deal(asked.mapInArrow(windows, exchange.SCHEMA), _settle_windows, FOUND)
+    second = exchange.deal(asked.mapInArrow(tidy(windows), exchange.SCHEMA), _settle_windows, FOUND)
     return found.where("not rim").select("doc", "start", "stop").union(second.select("doc", "start", "stop"))
 
 
@@ -441,10 +447,13 @@ def _spans(column: pa.Array) -> Iterator[list[tuple[int, int]]]:
         yield out
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    docs = _ordered(docs)
-    found = repeats(docs).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("_repeats"))  # one document's
-    return docs.join(found.withColumnRenamed("doc", "_doc"), F.col("_ord") == F.col("_doc"), "left").drop("_doc", "_ord")
+def _with_spans(docs: DataFrame, column: str) -> DataFrame:
+    """docs with the repeated stretches of each row."""
+    order, doc = fresh(docs, "ord", "doc")
+    docs = _ordered(docs, order)
+    texts = docs.select(F.col(order).alias("_ord"), F.col("text").cast("string").alias("text"))
+    found = repeats(texts).groupBy(F.col("doc").alias(doc)).agg(F.collect_list(F.struct("start", "stop")).alias(column))  # one document's
+    return docs.join(found, F.col(order) == F.col(doc), "left").drop(doc, order)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -458,7 +467,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = []
-            for text, spans in zip(b.column("text").to_pylist(), _spans(b.column("_repeats")), strict=True):
+            for text, spans in zip(b.column("text").to_pylist(), _spans(b.column("repeats")), strict=True):
                 raw, kept, at = (text or "").encode(), hashlib.sha256(), 0
                 for s, e in spans:
                     kept.update(raw[at:s])
@@ -469,18 +478,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _with_spans(texts).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(texts, "repeats").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs, all columns kept, with the repeats cut out of text; a character of which only a part repeats stays whole."""
+    """docs, all columns kept, with the repeats of remove_repeats() cut out of text; a character of which only a part repeats
+    stays whole. A null text stays null, an empty or a short one as it is; of repeated rows the first by doc_id (null first)
+    and text keeps its text; an empty table gives no rows; columns may have any names."""
     names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    (column,) = fresh(docs, "repeats")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts = b.column("text").to_pylist()
-            for i, spans in enumerate(_spans(b.column("_repeats"))):
+            for i, spans in enumerate(_spans(b.column(column))):
                 if spans:
                     raw, out, at = texts[i].encode(), [], 0
                     for s, e in spans:
@@ -493,7 +504,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     texts[i] = (b"".join(out) + raw[at:]).decode()
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
 
-    return _with_spans(docs).select(*names, "_repeats").mapInArrow(run, schema)
+    return _with_spans(docs, column).select(*names, column).mapInArrow(run, docs.schema)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,13 +13,13 @@ def table(spark, rows, schema="doc_id long, text string", parts=3):
 
 
 def hostile(spark):
-    """Nulls in every column, empty and long texts, ties, repeated rows, and extra columns whose names the operators use."""
+    """Nulls in every column, empty and long texts, ties, repeated rows, and extra columns of all names that the operators use or have used."""
     long = " ".join(f"word{i % 997}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, long), (4, "same text here, of six words"), (5, "same text here, of six words"), (5, "same text here, of six words"), (None, "no id"), (None, None), (7, " \n\t "), (8, "é" * 300)]
     df = table(spark, rows)
     from pyspark.sql import functions as F
 
-    extra = {c: F.lit("x") for c in ("ord", "doc", "row", "base", "ctx", "spans", "repeats", "score", "uid", "n", "part", "payload", "_kept2", "component_id")}
+    extra = {c: F.lit("x") for c in ("ord", "_ord", "doc", "_Doc", "least", "row", "_row", "base", "_base", "values", "_values", "ctx", "_ctx", "spans", "_Spans", "repeats", "_repeats", "score", "_score", "uid", "n", "f1", "k1", "K2", "_k1", "part", "payload", "_kept", "_rows", "rows", "component_id", "c", "ids", "label", "model")}
     return rows, df.withColumns(extra)
 
 

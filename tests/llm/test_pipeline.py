@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from plisse.llm import registry
 
-from .helpers import DOCUMENT, table
+from .helpers import DOCUMENT, hostile, table
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +44,37 @@ def test_stages(spark, folder):
     assert sorted(map(tuple, corpus_pipeline.run(spark, d).drop("sequence_id").collect())) == sorted(map(tuple, at.drop("sequence_id").collect()))
 
 
+def test_stages_keep_odd_rows_and_columns_of_any_name(spark, folder):
+    """Nulls, empty and very long texts, repeated rows and clashing columns go through every stage; what stays is whole."""
+    d = folder[0]
+    rows, at = hostile(spark)
+    names = at.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = corpus_pipeline.save(stage(spark, at, d), f"odd-{name}")
+        assert at.columns == names and all(set(r[2:]) == {"x"} for r in at.collect())
+    texts = {(r.doc_id, r.text) for r in at.collect()}
+    # The classifier knows no such texts; what it keeps loses copies alone.
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.keep_good(spark, hostile(spark)[1], d).collect()}
+    assert kept <= {(i, t) for i, t in rows} and {i for i, _ in kept} - {i for i, _ in texts} <= {5}
+    packed = corpus_pipeline.pack(spark, at, d).collect()
+    assert {r.doc_id for r in packed} == {i for i, _ in texts}
+
+
+def test_stages_of_an_empty_table(spark, folder):
+    at = table(spark, [], DOCUMENT)
+    for name, stage in corpus_pipeline.STAGES:
+        at = corpus_pipeline.save(stage(spark, at, folder[0]), f"none-{name}")
+        assert at.isEmpty()
+
+
+def test_rows_repeated_under_one_id(spark, folder):
+    """Copies under one doc_id, or none, leave one row; a text is never kept under an id that has another."""
+    a, b = ("one text of eight words is given here", "another text of quite other words goes there")
+    rows = [(5, a, "en", "s", 37), (5, b, "en", "s", 44), (3, b, "en", "t", 44), (None, a, "en", "s", 37), (5, a, "en", "s", 37)]
+    got = corpus_pipeline.keep_one(spark, table(spark, rows, DOCUMENT), folder[0]).collect()
+    assert sorted((r.doc_id, r.text, r.source) for r in got) == [(3, b, "t"), (5, a, "s")]
+
+
 def test_names():
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))

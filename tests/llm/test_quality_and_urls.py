@@ -60,7 +60,7 @@ def test_scores_by_hand():
             rows += [emb[k] for k in b]
         total, n = sum(rows, 0 * emb[0].astype(float)), len(rows)
         for x, y in zip(words, words[1:], strict=False):
-            total, n = total + quality.SAME_WEIGHT * emb[quality.BUCKETS + (x == y)], n + quality.SAME_WEIGHT
+            total, n = total + emb[quality.BUCKETS + (x == y)], n + 1
         z = total / max(1, n) @ out + bias
         assert abs(s - 1 / (1 + np.exp(z[0] - z[1]))) < 1e-4
 
